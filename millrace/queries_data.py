@@ -42,7 +42,7 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = trailing.trailing_totals(trailing.daily_sales(table(spark, sf_dir, "silver")))
-    rounded = (F.round(f"average_{n}", 4).alias(f"average_{n}") for n in (7, 30))
+    rounded = (F.round(f"average_{n}", 9).alias(f"average_{n}") for n in (7, 30))
     return days.select("customer_id", F.date_format("day", "yyyy-MM-dd").alias("day_text"), "day_number", "total_7", "total_30", *rounded)
 
 
@@ -152,7 +152,7 @@ GROUP BY ALL HAVING COUNT(*) * 50 >= (SELECT COUNT(*) FROM silver)""",
 WHERE day_number >= 30 AND total_7 >= 5000 AND total_30 > 0 AND total_7 * 30 >= 3 * 7 * total_30""",
     "p3_trailing": _DAILY + """SELECT customer_id, strftime(day, '%Y-%m-%d') AS day_text, day_number,
 CAST(total_7 AS DECIMAL(38,16)) AS total_7, CAST(total_30 AS DECIMAL(38,16)) AS total_30,
-ROUND(CAST(total_7 AS DOUBLE) / 7, 4) AS average_7, ROUND(CAST(total_30 AS DOUBLE) / 30, 4) AS average_30 FROM rolled""",
+ROUND(CAST(total_7 AS DOUBLE) / 7, 9) AS average_7, ROUND(CAST(total_30 AS DOUBLE) / 30, 9) AS average_30 FROM rolled""",
     "p6_found": _P6,
     "p7_found": _P7,
 }
