@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, together
+from millrace.llm import encoding, harm, together
 from millrace.session import table
 
 
@@ -29,7 +29,23 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p8_ids)}
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harm.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("score") >= harm.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harm.source_rates(_scored(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p8_ids, p10_found, p10_scores, p10_rates)}
 
 _BASKETS = """
 WITH members AS (
