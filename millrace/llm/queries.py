@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, harm, together
+from millrace.llm import encoding, harm, history, together
 from millrace.session import table
 
 
@@ -25,6 +25,15 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_a", "item_b", "n_together", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.duplicate_arrivals(table(spark, sf_dir, "intake_result"), table(spark, sf_dir, "workbook"))
+
+
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each arrival with the first arrival that brought the same set of rows."""
+    return history.arrival_sets(table(spark, sf_dir, "intake_result"), table(spark, sf_dir, "workbook"))[0]
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -45,7 +54,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harm.source_rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p8_ids, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_members, p8_ids, p10_found, p10_scores, p10_rates)}
 
 _BASKETS = """
 WITH members AS (
@@ -63,4 +72,18 @@ ORACLE = {
 WHERE n_together >= 5 AND n_together * 500 >= n_baskets AND n_together * n_baskets >= 3 * n_a * n_b""",
     "p4_pairs": _BASKETS + """SELECT item_a, item_b, n_together, n_a, n_b,
 ROUND(n_together / (CAST(n_a AS DOUBLE) * n_b / n_baskets), 6) AS lift FROM full_pairs""",
+    "p5_found": """
+WITH sets AS (
+  SELECT DISTINCT source_file_id AS f, trim(Invoice) AS i, upper(trim(StockCode)) AS s, TRY_CAST(trim(Quantity) AS DOUBLE) AS q
+  FROM workbook WHERE TRY_CAST(trim(Quantity) AS DOUBLE) IS NOT NULL),
+sizes AS (SELECT f, COUNT(*) AS n FROM sets GROUP BY ALL),
+common AS (
+  SELECT a.f AS x, b.f AS y, COUNT(*) AS c FROM sets a JOIN sets b
+  ON a.i IS NOT DISTINCT FROM b.i AND a.s IS NOT DISTINCT FROM b.s AND a.q = b.q AND a.f < b.f GROUP BY ALL),
+near AS (SELECT x, y FROM common JOIN sizes p ON p.f = x JOIN sizes r ON r.f = y WHERE 5 * c >= 4 * (p.n + r.n - c)),
+pairs AS (
+  SELECT a.intake_id AS a, b.intake_id AS b FROM intake_result a JOIN intake_result b ON a.file_hash = b.file_hash
+  UNION SELECT a.intake_id, b.intake_id FROM intake_result a JOIN intake_result b ON a.content_fingerprint = b.content_fingerprint
+  UNION SELECT a.intake_id, b.intake_id FROM near JOIN intake_result a ON a.file_hash = x JOIN intake_result b ON b.file_hash = y)
+SELECT DISTINCT LEAST(a, b) AS intake_id_a, GREATEST(a, b) AS intake_id_b FROM pairs WHERE a <> b""",
 }
