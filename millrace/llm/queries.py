@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, harm, history, together
+from millrace.llm import encoding, harm, history, packing, together
 from millrace.session import table
 
 
@@ -38,6 +38,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harm.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"))
 
@@ -54,7 +58,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harm.source_rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_members, p8_ids, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_members, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
 
 _BASKETS = """
 WITH members AS (
