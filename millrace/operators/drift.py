@@ -84,14 +84,16 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _similarity(a: dict, b: dict) -> float:
-    """Between 0 and 1: half name, a fifth type, the rest value shapes."""
+    """Between 0 and 1: half name, a fifth type, the rest value shapes where both are known."""
     name = difflib.SequenceMatcher(None, a["name"], b["name"], autojunk=False).ratio()
     short, long = sorted((a["name"], b["name"]), key=len)
     within = iter(long)
     if len(short) >= 2 and all(c in within for c in short):  # an abbreviation keeps the order of letters
         name = max(name, 0.8)
-    sketch = float(np.mean(np.asarray(a["sketch"]) == np.asarray(b["sketch"]))) if a["sketch"] is not None and b["sketch"] is not None else 0.0
-    return 0.5 * name + 0.2 * (a["type"] == b["type"]) + 0.3 * sketch
+    known = 0.5 * name + 0.2 * (a["type"] == b["type"])
+    if a["sketch"] is None or b["sketch"] is None:
+        return known / 0.7
+    return known + 0.3 * float(np.mean(np.asarray(a["sketch"]) == np.asarray(b["sketch"])))
 
 
 def match_columns(old: list[dict], new: list[dict]) -> list[tuple[int, int, float]]:
