@@ -127,7 +127,7 @@ class XlsxReader(DataSourceReader):
         return [XlsxPartition(str(p)) for p in files]
 
     def read(self, partition: XlsxPartition) -> Iterator[tuple]:
-        wanted, empty = self.options.get("sheet"), str(self.options.get("naStrings", "true")).lower() == "true"
+        wanted, empty = self.options.get("sheet"), str(self.options.get("nastrings", "true")).lower() == "true"
         book = Workbook(partition.path)
         for sheet in [s for s in book.sheets if wanted in (None, s)]:
             headers: dict[int, str | None] = {}
@@ -150,7 +150,7 @@ class XlsxDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return XlsxReader(dict(self.options))
+        return XlsxReader({k.lower(): v for k, v in self.options.items()})
 
 
 def read_cells(spark: SparkSession, path: str, sheet: str | None = None, na_strings: bool = True) -> DataFrame:
