@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.ordered import join_null_safe, range_prefix_sums
 from millrace.operators.trailing import PLAIN_NUMBER
+from millrace.session import cut
 
 #: Column name -> pattern that its values keep to.
 FORMS = {
@@ -126,8 +127,8 @@ def profile(rows: DataFrame, points: dict[str, float] | None = None, with_ks: bo
     not read.
     """
     points = points or POINTS
-    counts = value_counts(rows)
-    sortable = _sortable(counts)
+    counts = cut(value_counts(rows))  # every measure below reads the counted values, not the rows
+    sortable = cut(_sortable(counts))
     ranks = quantiles(sortable, points)
     out = join_null_safe(_measures(counts), ranks, GROUP, "left")
     loads = load_order(rows)
