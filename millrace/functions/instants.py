@@ -59,28 +59,41 @@ def _bare(column: str) -> Column:
     return F.regexp_replace(F.col(column), r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-def _split(text: Column) -> tuple[Column, Column]:
-    """The form's name and its parts as one text, joined by bars in the order of ``_FIELDS``."""
-    form = parts = None
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a computed column that filters above it do not compute again: they cannot pass a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _days(year: Column, month: Column, day: Column) -> Column:
+    """Days since 1970-01-01 of a date of the Gregorian calendar that exists, else null."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    longest = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    whole = lambda a, b: F.floor(a / F.lit(b)).cast("int")
+    y = year - F.when(month <= 2, 1).otherwise(0)  # years begin in March
+    in_year = whole(((month + 9) % 12) * 153 + 2, 5) + day - 1
+    since = y * 365 + whole(y, 4) - whole(y, 100) + whole(y, 400) + in_year - 719468
+    return F.when((year >= 1) & month.between(1, 12) & (day >= 1) & (day <= longest), since)
+
+
+def _split(text: Column) -> Column:
+    """The form's name and its parts as one text, joined by bars: name first, then the order of ``_FIELDS``."""
+    out = None
     for f in FORMS:
         flags = "(?i)" if f.pattern.startswith("(?i)") else ""
         pattern = f"{flags}^{f.pattern.removeprefix('(?i)')}$"
-        groups = "|".join(f"${getattr(f, x)}" if getattr(f, x) else "" for x in _FIELDS)
-        hit = text.rlike(pattern)
-        taken = F.regexp_replace(text, pattern, groups)
-        form = F.when(hit, f.name) if form is None else form.when(hit, f.name)
-        parts = F.when(hit, taken) if parts is None else parts.when(hit, taken)
+        groups = "|".join([f.name, *(f"${getattr(f, x)}" if getattr(f, x) else "" for x in _FIELDS)])
+        hit, taken = text.rlike(pattern), F.regexp_replace(text, pattern, groups)
+        out = F.when(hit, taken) if out is None else out.when(hit, taken)
     for name, pattern in NUMBER_FORMS.items():
-        form = form.when(text.rlike(pattern), name)
-    return form, parts
+        out = out.when(text.rlike(pattern), F.lit(name + "|" * len(_FIELDS)))
+    return out
 
 
 def read_forms(df: DataFrame, column: str) -> DataFrame:
     """Add ``_form`` (the first form that matches, or null) and ``_p``, the struct of its parts."""
-    text = df.withColumn("_text", _bare(column))
-    form, parts = _split(F.col("_text"))
-    split = text.withColumn("_form", form).withColumn("_parts", F.split(parts, r"\|"))
-    item = lambda k: F.nullif(F.col("_parts")[k], F.lit(""))
+    split = df.withColumn("_text", _bare(column))
+    split = _once(split, "_parts", F.split(_split(F.col("_text")), r"\|"))
+    item = lambda k: F.nullif(F.col("_parts")[k + 1], F.lit(""))
     number = lambda k: item(k).try_cast("int")
     month = F.coalesce(number(1), F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.left(item(1), F.lit(3)))).cast("int"), F.lit(0)))
     return split.withColumn(
@@ -89,7 +102,7 @@ def read_forms(df: DataFrame, column: str) -> DataFrame:
             number(0).alias("year"), month.alias("month"), number(2).alias("day"), number(3).alias("hour"), number(4).alias("minute"),
             number(5).alias("second"), item(6).alias("fraction"), F.lower(item(7)).alias("half"), F.upper(item(8)).alias("zone"),
         ),
-    ).drop("_parts")
+    ).withColumn("_form", F.col("_parts")[0]).drop("_parts")
 
 
 def slash_orders(read: DataFrame, file_column: str) -> DataFrame:
@@ -135,13 +148,13 @@ def to_instants(read: DataFrame, zone_column: str, month_first_column: str, mont
     p = lambda name: F.col(f"_p.{name}")
     swap = (F.col("_form") == "slash") & F.coalesce(F.col(month_first_column), F.lit(month_first_default))
     day, month = F.when(swap, p("month")).otherwise(p("day")), F.when(swap, p("day")).otherwise(p("month"))
-    date = F.format_string("%04d-%02d-%02d", p("year"), month, day).try_cast("date")
+    days = _days(p("year"), month, day)
     half_hour = F.when(p("hour").between(1, 12), p("hour") % 12 + F.when(p("half") == "p", 12).otherwise(0))
     hour = F.when(p("half").isNotNull(), half_hour).otherwise(F.coalesce(p("hour"), F.lit(0)))
     minute, second = F.coalesce(p("minute"), F.lit(0)), F.coalesce(p("second"), F.lit(0))
     fraction = F.rpad(F.left(F.coalesce(p("fraction"), F.lit("")), F.lit(6)), 6, "0").try_cast("bigint")
-    sound = (hour <= 23) & (minute <= 59) & (second <= 59) & p("year").isNotNull() & month.isNotNull() & day.isNotNull()
-    seconds = F.unix_date(date).cast("bigint") * 86400 + hour * 3600 + minute * 60 + second
+    sound = (hour <= 23) & (minute <= 59) & (second <= 59)
+    seconds = days.cast("bigint") * 86400 + hour * 3600 + minute * 60 + second
     written = F.when(sound, seconds * _US + fraction)
     sheet = F.round(F.when(F.col("_form") == "sheet_days", F.col("_text")).try_cast("decimal(38,18)") * 86400, 0).cast("bigint") - 25569 * 86400
     count = F.when(F.col("_form").isin("unix_seconds", "unix_millis"), F.col("_text")).try_cast("bigint")
@@ -159,7 +172,9 @@ def to_instants(read: DataFrame, zone_column: str, month_first_column: str, mont
     )
     later = back(F.col("_site") + 3600 * _US)
     case = F.when(back(F.col("_site")) != F.col("_local"), "skipped").when(later == F.col("_local"), "repeated").otherwise("plain")
-    done = placed.withColumns({"utc_micros": instant, "clock_case": F.when(instant.isNotNull(), F.when(F.col("_site").isNotNull(), case).otherwise("plain"))})
+    done = _once(placed, "utc_micros", instant)
+    known = F.when(F.col("_site").isNotNull(), case).otherwise("plain")
+    done = done.withColumn("clock_case", F.when(F.col("utc_micros").isNotNull(), known))
     return done.drop("_local", "_offset", "_zone", "_site")
 
 
@@ -171,7 +186,7 @@ def normalise(df: DataFrame, column: str, file_column: str, zones: DataFrame, mo
     give nulls; repeated rows stay repeated; an empty table stays empty.
     """
     read = read_forms(df, column)
-    orders = slash_orders(read, file_column)
+    orders = slash_orders(read_forms(df.where(F.col(column).contains("/")).select(file_column, column), column), file_column)
     sited = read.join(zones, read[file_column] == zones["file_hash"], "left").drop("file_hash")
     sited = sited.join(orders, F.col(file_column) == F.col("_order_file"), "left").drop("_order_file")
     done = to_instants(sited, "site_zone", "_month_first", month_first_default)
