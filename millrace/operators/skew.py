@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import join_null_safe
-from millrace.session import stored
+from millrace.session import cut, stored
 
 BLOCK_ROWS = 1 << 20
 CHUNK_ROWS = 100_000
@@ -97,6 +97,7 @@ def key_results(df: DataFrame, fields: list[str], chunk_rows: int = CHUNK_ROWS,
 
 def heavy_keys(results: DataFrame, divisor: int = 50) -> DataFrame:
     """The values, not null or blank, on at least 1/``divisor`` of all rows of their field."""
+    results = cut(results)  # a row per key, read twice
     totals = results.groupBy("field_name").agg(F.sum("n_rows").alias("_all"))  # a row per field name
     blank = F.coalesce(F.col("key_value").rlike(r"(?U)^[\s\p{Z}]*$"), F.lit(True))
     heavy = results.join(F.broadcast(totals), "field_name").where(~blank & (F.col("n_rows") * divisor >= F.col("_all")))
