@@ -108,14 +108,15 @@ def read_forms(df: DataFrame, column: str) -> DataFrame:
 def slash_orders(read: DataFrame, file_column: str) -> DataFrame:
     """``file_column`` and ``_month_first`` of each file with slash dates, from dates that show their order.
 
-    A date shows its order where one of the two numbers is above 12 and the other is a month.
-    Files whose dates show both orders, or none, get null.
+    A date shows its order where it exists when read in this order only, one of its numbers being
+    above 12.  Should a file's dates show both orders, the one shown more often holds; files
+    where neither is get null.
     """
-    first, second = F.col("_p.day"), F.col("_p.month")
-    shows_day = first.between(13, 31) & second.between(1, 12)
-    shows_month = second.between(13, 31) & first.between(1, 12)
-    seen = read.where(F.col("_form") == "slash").groupBy(file_column).agg(F.max(shows_day).alias("_d"), F.max(shows_month).alias("_m"))
-    return seen.select(F.col(file_column).alias("_order_file"), F.when(F.col("_d") != F.col("_m"), F.col("_m")).alias("_month_first"))
+    year, first, second = (F.col(f"_p.{x}") for x in ("year", "day", "month"))
+    shows_day = (first > 12) & _days(year, second, first).isNotNull()
+    shows_month = (second > 12) & _days(year, first, second).isNotNull()
+    seen = read.where(F.col("_form") == "slash").groupBy(file_column).agg(F.count_if(shows_day).alias("_d"), F.count_if(shows_month).alias("_m"))
+    return seen.select(F.col(file_column).alias("_order_file"), F.when(F.col("_d") != F.col("_m"), F.col("_m") > F.col("_d")).alias("_month_first"))
 
 
 def valid_zones(zones: DataFrame, column: str) -> DataFrame:
@@ -187,9 +188,10 @@ def normalise(df: DataFrame, column: str, file_column: str, zones: DataFrame, mo
     """
     read = read_forms(df, column)
     orders = slash_orders(read_forms(df.where(F.col(column).contains("/")).select(file_column, column), column), file_column)
-    sited = read.join(zones, read[file_column] == zones["file_hash"], "left").drop("file_hash")
+    sites = zones.select(F.col("file_hash").alias("_zone_file"), F.col("site_zone").alias("_site_zone"))
+    sited = read.join(sites, F.col(file_column) == F.col("_zone_file"), "left").drop("_zone_file")
     sited = sited.join(orders, F.col(file_column) == F.col("_order_file"), "left").drop("_order_file")
-    done = to_instants(sited, "site_zone", "_month_first", month_first_default)
+    done = to_instants(sited, "_site_zone", "_month_first", month_first_default)
     return done.select(*df.columns, F.col("_form").alias("form"), "utc_micros", "clock_case")
 
 

@@ -18,10 +18,10 @@ BLOCK_ROWS = 1 << 20
 CHUNK_ROWS = 100_000
 
 
-def located(df: DataFrame) -> DataFrame:
-    """``df`` with ``_file`` and ``_row``, the place of each row in its stored file."""
-    kept = stored(df)
-    return kept.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+def located(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``df`` (all by default) with ``_file`` and ``_row``, the place of each row in its stored file."""
+    kept = stored(df if columns is None else df.select(*columns))
+    return kept.select(*(columns or kept.columns), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def number_rows(df: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -89,7 +89,7 @@ def unpivot_fields(df: DataFrame, fields: list[str], keep: list[str]) -> DataFra
 
 def key_results(df: DataFrame, fields: list[str], chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Complete results per value of each of ``fields`` of sales rows, hot values spread evenly."""
-    rows = unpivot_fields(located(df), fields, ["quantity", "product_id", "_file", "_row"])
+    rows = unpivot_fields(located(df, [*fields, *(c for c in ("quantity", "product_id") if c not in fields)]), fields, ["quantity", "product_id", "_file", "_row"])
     return chunked_totals(
         rows, ["field_name", "key_value"], {"total_quantity": F.col("quantity").cast("bigint")}, "product_id", chunk_rows, block_rows
     )

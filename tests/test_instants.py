@@ -94,6 +94,19 @@ def test_a_file_without_evidence_takes_the_default(spark, zones):
     assert day["3/13/2024 10:00"] is None and month["13/3/2024 10:00"] is None
 
 
+def test_dates_that_do_not_exist_show_no_order(spark, zones):
+    df = spark.createDataFrame([("nyc", "31/02/2024 10:15"), ("nyc", "31/02/2024 10:16"), ("nyc", "6/24/2024 1:45 PM"), ("nyc", "6/7/2024 1:45 PM")], "source_file_id string, written string")
+    got = {r.written: r.utc_micros for r in instants.normalise(df, "written", "source_file_id", zones).collect()}
+    assert got["31/02/2024 10:15"] is None
+    assert got["6/24/2024 1:45 PM"] == micros(2024, 6, 24, 13, 45, zone=NEW_YORK) and got["6/7/2024 1:45 PM"] == micros(2024, 6, 7, 13, 45, zone=NEW_YORK)
+
+
+def test_days_agree_with_the_calendar(spark):
+    dates = [dt.date(1, 1, 1), dt.date(9999, 12, 31), *(dt.date(1890, 1, 1) + dt.timedelta(days=k) for k in range(0, 90_000, 7))]
+    df = spark.createDataFrame([(d.year, d.month, d.day, (d - dt.date(1970, 1, 1)).days) for d in dates] + [(2023, 2, 29, None), (2024, 4, 31, None), (2024, 13, 1, None), (0, 1, 1, None)], "y int, m int, d int, want int")
+    assert df.where(~instants._days(F.col("y"), F.col("m"), F.col("d")).eqNullSafe(F.col("want"))).count() == 0
+
+
 def test_empty(spark, zones):
-    df = spark.createDataFrame([], "source_file_id string, written string, form2 string")
+    df = spark.createDataFrame([], "source_file_id string, written string, site_zone string, file_hash string")
     assert instants.normalise(df, "written", "source_file_id", zones).count() == 0

@@ -5,7 +5,7 @@ import pytest
 
 from millrace.operators import ordered, skew
 
-SILVER = "country string, customer_id string, quantity int, product_id string, other string"
+SILVER = "country string, customer_id string, quantity int, product_id string, _file string"
 
 
 def rows(n=900, seed=3):
@@ -36,7 +36,7 @@ def test_key_results_match_brute_force(spark, tmp_path, chunk, block):
 
 def test_numbers_are_complete_per_key(spark):
     df = spark.createDataFrame(rows(200), SILVER).repartition(5)
-    placed = skew.number_rows(skew.located(df).select("country", "_file", "_row"), ["country"], 16)
+    placed = skew.number_rows(skew.located(df, ["country"]), ["country"], 16)
     by = defaultdict(list)
     for r in placed.collect():
         by[r.country].append(r._number)
