@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import range_prefix_sums
+
 
 def same_values(columns: list[str], left: str, right: str) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))
@@ -92,14 +95,20 @@ def balanced_sample(df: DataFrame, stratum: str, key: str, size: int, seed: str)
     """``size`` rows taken in turn from the strata, inside a stratum by a hash of seed and key."""
     order = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
     turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
-    return turn.orderBy("turn", stratum).limit(size)
+    # no stratum gives more than the whole sample, so each task keeps that many of its rows
+    return turn.where(F.col("turn") <= size).orderBy("turn", stratum).limit(size)
 
 
 def exact_sample(df: DataFrame, share: float, key: str, seed: str) -> DataFrame:
-    """``ceil(n * share)`` rows by a hash of seed and key, the same on every run."""
-    import math
+    """``ceil(n * share)`` rows by a hash of seed and ``key`` (unique), the same on every run."""
+    return first_by_hash(df, math.ceil(df.count() * share), key, seed)
+
 
-    return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(math.ceil(df.count() * share))
+def first_by_hash(df: DataFrame, n: int, key: str, seed: str) -> DataFrame:
+    """The ``n`` rows whose hash of seed and ``key`` (unique) is least; ranks are counted over range-sorted partitions."""
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    ranked = range_prefix_sums(df.select(key, order.alias("_order"), F.lit(1).alias("_one")), [], ["_order", key], {"_rank": "_one"})
+    return df.join(ranked.where(F.col("_rank") <= n).select(key), key, "left_semi")
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, percents: list[int]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import relational as rel
-from millrace.plans import bronze, marts
+from millrace.plans import bronze, marts, repair, simulate
 from millrace.plans.tenant import TenantSession
 from millrace.session import table
 
@@ -425,3 +425,28 @@ def reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reason_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = text.safe_ratio(F.count_if(F.size("reason_codes") > 0), F.count("*"))
     return table(spark, sf_dir, "intake_result").groupBy("decision").agg(F.count("*").alias("n"), share.alias("share_with_reasons"))
+
+
+@query("""WITH once AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_file_id, Invoice, StockCode, Description, Quantity, InvoiceDate, Price, "Customer ID", Country ORDER BY source_row_number) AS k FROM workbook),
+bare AS (SELECT source_file_id, source_row_number, Invoice, trim(regexp_replace(regexp_replace(replace(trim(Price), ',', ''), '^\\((.*)\\)$', '-\\1'), '[$£€]', '', 'g')) AS p,
+  trim(regexp_replace(regexp_replace(replace(trim(Quantity), ',', ''), '^\\((.*)\\)$', '-\\1'), '[$£€]', '', 'g')) AS q FROM once WHERE k = 1)
+SELECT source_file_id, source_row_number, Invoice AS invoice_id, CASE WHEN regexp_full_match(p, '[+-]?(\\d+\\.?\\d*|\\.\\d+)') THEN CAST(p AS DECIMAL(27,16)) END AS unit_price,
+CASE WHEN regexp_full_match(q, '[+-]?(\\d+\\.?\\d*|\\.\\d+)') THEN CAST(q AS DECIMAL(27,16)) END AS quantity FROM bare""")
+def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renames, keep-first and number repair over all raw rows, in the fixed order."""
+    plan = [
+        repair.Step("confirm_numeric_format", {"columns": ["unit_price", "quantity"]}), repair.Step("deduplicate_in_silver"),
+        repair.Step("map_columns", {"mapping": {"Price": "unit_price", "Invoice": "invoice_id", "Quantity": "quantity"}}),
+    ]
+    done = repair.apply_plan(table(spark, sf_dir, "workbook"), plan)
+    return done.select("source_file_id", "source_row_number", "invoice_id", "unit_price", "quantity")
+
+
+@query()
+def corrupted_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows as one sheet with a seeded sixth of its rows repeated."""
+    from millrace.operators.relational import keep_first
+
+    rows = keep_first(table(spark, sf_dir, "workbook"), ["source_file_id", "source_row_number"], ["Invoice", "StockCode"])
+    numbered = rows.withColumn("source_row_number", F.xxhash64("source_file_id", "source_row_number"))
+    return simulate.corrupt(numbered, "duplicate_rows", 42).select("source_file_id", "Invoice", "StockCode")
