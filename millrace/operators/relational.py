@@ -68,6 +68,21 @@ def merge_manifest(existing: DataFrame, incoming: DataFrame, key: str, identity:
     return change.select(key, outcome.alias("outcome"))
 
 
+def append_new(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """``existing`` and the rows of ``incoming`` whose key it does not have; of incoming rows of one key the least counts."""
+    rest = [c for c in incoming.columns if c not in key]
+    once = incoming.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*").select(*existing.columns)
+    return existing.unionByName(once.join(existing.select(*key), key, "left_anti").select(*existing.columns))
+
+
+def keep_latest(existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key over both sides, the last in ``order``; reduced before the shuffle."""
+    both = existing.unionByName(incoming)
+    rest = [c for c in both.columns if c not in key]
+    last = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return last.select(*key, "_row.*").select(*existing.columns)
+
+
 def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 

@@ -450,3 +450,26 @@ def corrupted_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keep_first(table(spark, sf_dir, "workbook"), ["source_file_id", "source_row_number"], ["Invoice", "StockCode"])
     numbered = rows.withColumn("source_row_number", F.xxhash64("source_file_id", "source_row_number"))
     return simulate.corrupt(numbered, "duplicate_rows", 42).select("source_file_id", "Invoice", "StockCode")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Recorded and newly delivered runs, which share some file hashes."""
+    runs = table(spark, sf_dir, "intake_result").where(F.col("file_hash").isNotNull()).select("client_id", "file_hash", "intake_id", "row_count")
+    return runs.where(F.col("intake_id") % 3 != 0), runs.where(F.col("intake_id") % 3 != 1)
+
+
+_RUNS = """WITH runs AS (SELECT client_id, file_hash, intake_id, row_count FROM intake_result WHERE file_hash IS NOT NULL),
+old_runs AS (SELECT * FROM runs WHERE intake_id % 3 <> 0), new_runs AS (SELECT * FROM runs WHERE intake_id % 3 <> 1) """
+
+
+@query(_RUNS + """SELECT * FROM old_runs UNION ALL SELECT client_id, file_hash, intake_id, row_count FROM (
+SELECT *, ROW_NUMBER() OVER (PARTITION BY client_id, file_hash ORDER BY intake_id) AS k FROM new_runs n
+WHERE NOT EXISTS (SELECT 1 FROM old_runs o WHERE o.client_id = n.client_id AND o.file_hash = n.file_hash)) WHERE k = 1""")
+def control_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.append_new(*_runs(spark, sf_dir), ["client_id", "file_hash"])
+
+
+@query(_RUNS + """SELECT client_id, file_hash, intake_id, row_count FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY client_id, file_hash ORDER BY intake_id DESC) AS k
+FROM (SELECT * FROM old_runs UNION ALL SELECT * FROM new_runs)) WHERE k = 1""")
+def control_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.keep_latest(*_runs(spark, sf_dir), ["client_id", "file_hash"], ["intake_id"])
