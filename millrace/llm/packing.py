@@ -128,8 +128,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, vocabulary: int = 50_257, s
     shards = max(1, -(-int(totals["docs"]) // shard_items))
     lone_id = F.lit(1 << 62) + F.monotonically_increasing_id()  # row numbers of a stored table, unlike any shard's
     full = alone.select("doc_id", "piece", "start", "n_tokens", lone_id.alias("container_id"), F.lit(0).alias("position"))
+    # dealt by row number, not by content, so that copies of one document spread over the shards
     rest = cutup.where(F.col("n_tokens") < cap)
-    rest = rest.select("doc_id", "piece", "start", "n_tokens", F.slice("ids", F.col("start") + 1, F.col("n_tokens")).alias("terms"), F.pmod(F.xxhash64("doc_id", "piece", F.xxhash64("ids")), F.lit(shards)).alias("shard"))
+    rest = rest.select("doc_id", "piece", "start", "n_tokens", F.slice("ids", F.col("start") + 1, F.col("n_tokens")).alias("terms"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
     shape = _OUT.format(key=key)
     first = cut(rest.groupBy("shard").applyInPandas(_pack(key, capacity, idf, mean, False), shape + ", terms array<int>"))
     good = F.col("filled") >= FULL * capacity
