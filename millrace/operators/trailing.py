@@ -18,6 +18,11 @@ def written_day(column: str) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("date")
 
 
+def written_month(column: str) -> Column:
+    """Year and month of ``written_day``, as yyyy-MM."""
+    return F.date_format(written_day(column), "yyyy-MM")
+
+
 def daily_sales(silver: DataFrame) -> DataFrame:
     """``customer_id``, ``day``, ``total`` and ``n_rows`` from canonical rows.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import relational as rel
+from millrace.operators.trailing import written_day, written_month
 from millrace.plans import bronze, marts, repair, simulate
 from millrace.plans.tenant import TenantSession
 from millrace.session import table
@@ -285,6 +286,35 @@ def split_min_rows_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.split_groups(rows, ["reporting_month", "country"], 20, 25)
 
 
+# the three queries above read extended ISO forms only, as their SQL does; these read both
+_MONTHS = r"""WITH dated AS (SELECT *, strftime(TRY_CAST(CASE WHEN regexp_matches(transaction_timestamp, '^\s*\d{4}-?\d{2}-?\d{2}($|[Tt\s])')
+  THEN regexp_replace(transaction_timestamp, '^\s*(\d{4})-?(\d{2})-?(\d{2}).*$', '\1-\2-\3') END AS DATE), '%Y-%m') AS reporting_month FROM silver)
+"""
+
+
+@query(_MONTHS + "SELECT reporting_month AS month, COUNT(*) AS n_rows FROM dated WHERE reporting_month IS NOT NULL GROUP BY 1")
+def source_overlap_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "silver").withColumns({"_month": written_month("transaction_timestamp"), "_day": written_day("transaction_timestamp")})
+    month = F.col("_month")
+    joined = rel.remove_overlap(rows.where(month <= "2024-03"), rows.where(month >= "2024-03"), month == "2024-03", "_day", _SILVER)
+    return joined.groupBy(month.alias("month")).agg(F.count("*").alias("n_rows"))
+
+
+@query(_MONTHS + """SELECT country, reporting_month, COUNT(*) AS n_rows, COUNT(DISTINCT source_file_id) AS n_files, MIN(source_row_number) AS first_row, MAX(source_row_number) AS last_row
+FROM dated WHERE country IS NOT NULL AND reporting_month IS NOT NULL GROUP BY 1, 2""")
+def country_month_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "silver").withColumn("reporting_month", written_month("transaction_timestamp")).dropna(subset=["country", "reporting_month"])
+    lines = (F.count("*").alias("n_rows"), F.count_distinct("source_file_id").alias("n_files"))
+    return rows.groupBy("country", "reporting_month").agg(*lines, F.min("source_row_number").alias("first_row"), F.max("source_row_number").alias("last_row"))
+
+
+@query(_MONTHS + """SELECT country, reporting_month, COUNT(*) AS n_rows, MIN(source_row_number) AS first_row, MAX(source_row_number) AS last_row
+FROM dated WHERE country IS NOT NULL AND reporting_month IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 20 ORDER BY 2, 1 LIMIT 25""")
+def split_groups_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "silver").withColumn("reporting_month", written_month("transaction_timestamp"))
+    return rel.split_groups(rows, ["reporting_month", "country"], 20, 25)
+
+
 @query("""SELECT invoice_id, string_agg(source_file_id || ':' || CAST(source_row_number AS VARCHAR), ',' ORDER BY source_file_id, source_row_number) AS lineage
 FROM silver WHERE invoice_id IS NOT NULL GROUP BY 1""")
 def source_row_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from millrace import queries_tables
 from millrace.functions import text
 from millrace.operators import relational as rel
 from millrace.plans import bronze, marts
@@ -108,3 +109,13 @@ def test_tenants_see_their_rows_only(spark, sf_dir, tmp_path):
 def test_worst(spark):
     df = spark.createDataFrame([(["WARN", "BLOCK"],), ([],), (["PASS", "REVIEW"],)], "d array<string>")
     assert [r.w for r in df.select(bronze.worst(F.col("d")).alias("w")).collect()] == ["BLOCK", "PASS", "REVIEW"]
+
+
+@pytest.mark.parametrize("name", ["source_overlap_all_forms", "country_month_all_forms", "split_groups_all_forms"])
+def test_months_of_both_iso_forms(spark, tmp_path, name):
+    stamps = ["2024-03-18T15:39:47+01:00", "20240318T153947+0100", "20240318T153947", "2024-03-18", "2024-02-01 10:00:00", "20240201T100000", "2024-02-30", "soon", None]
+    columns = "source_file_id string, source_row_number int, invoice_id string, product_id string, product_description string, quantity int, transaction_timestamp string, unit_price string, customer_id string, country string"
+    rows = [(f"f{k % 2}", k, "1", "p", "mug", 1, stamps[k % 9], "2.5", "501", "UK") for k in range(180)]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "silver.parquet"))
+    got = queries_tables.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r["month" if "overlap" in name else "reporting_month"], r.n_rows) for r in got} == {("2024-03", 80), ("2024-02", 40)}
