@@ -104,6 +104,8 @@ TRIGGERS = {
 _LEET = str.maketrans({"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "9": "g", "8": "b", "+": "t"})
 _LOOKALIKE = str.maketrans(dict(zip("аеорсухікмтнвбзгјѕԁ", "aeopcyxikmthvbsrjsd", strict=True)) | {"ł": "l", "ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ı": "i", "’": "'", "`": "'", "´": "'"})
 _INVISIBLE = re.compile(r"[­​-‏‪-‮⁠-⁤﻿︀-️\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|â€‹|â€Œ|â€\u008d|â\u0080[\u008b-\u008f]|â€‍")
+#: What ``_INVISIBLE`` and ``_LOOKALIKE`` do to ASCII.
+_ASCII = {c: None for c in range(128) if _INVISIBLE.match(chr(c))} | {k: v for k, v in _LOOKALIKE.items() if k < 128}
 _BROKEN = re.compile(r"[ÃÂâåæçèéðï][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _ENDS = re.compile(r"(?<=[.!?;。！？])\s+|[\n\r]+|(?<=[。！？])|<br\s*/?>|</p>")
@@ -211,7 +213,7 @@ def undisguise(passage: str) -> tuple[str, tuple[str, ...], bool]:
     """Lower-case text, its words, and whether a listed word was found only after undoing a disguise."""
     category, swapped, _ = _lists()
     if passage.isascii():
-        text = passage.lower()
+        text = passage.translate(_ASCII).lower()
         if "<" in text:
             text = _TAG.sub(" ", text)
     else:

@@ -14,6 +14,13 @@ def test_disguises_are_undone(text):
     assert "h" in harm.votes(text), harm.undisguise(text)
 
 
+@pytest.mark.parametrize("mark", [chr(c) for c in (*range(1, 9), 11, 12, *range(14, 32), 127)])
+def test_control_characters_do_not_hide_a_word(mark):
+    text = f"You mo{mark}ron!"
+    assert "h" in harm.votes(text) and harm.undisguise(text) == harm.undisguise(f"{text}\u200b")
+    assert harm.undisguise("you`re a moron") == harm.undisguise("you`re a moron\u200b")
+
+
 @pytest.mark.parametrize("text", ["Spotted dick basin, oven proof.", "An idiot-proof lid, says the box.", "Kill the stuck export job first.", "Le retard de livraison est de 3 jours.", "The cockerel sold out in Essex and Scunthorpe.", "", "   "])
 def test_harmless_senses(text):
     assert "h" not in harm.votes(text)
