@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordered import range_prefix_sums
 from millrace.session import cut, spread
 
 DIMENSIONS = 1 << 16
 #: Bound of the passages of labelled documents on which the classifier is fitted.
 FIT_PASSAGES = 40_000
-#: Bound of the labelled documents by which scores are calibrated.
-FIT_DOCUMENTS = 20_000
 PASSAGE_TOKENS = 32
 THRESHOLD = 0.5
 
@@ -455,18 +454,21 @@ def fit_classifier(rows: list[np.ndarray] | list[list[int]], target: np.ndarray,
 
 
 # ---------------------------------------------------------------- on Spark
-def best_cut(scores: np.ndarray, harmful: np.ndarray) -> float:
-    """The score between harmless and harmful at which raters and scores agree best (by F1), 0.5 without cases of both."""
-    if not len(scores) or harmful.all() or not harmful.any():
+def best_cut(rated: DataFrame) -> float:
+    """The score between harmless and harmful at which raters and scores agree best (by F1), 0.5 without cases of both.
+
+    ``rated`` has ``score`` and ``harmful`` of each labelled document.  Documents are counted per
+    score and the counts summed over range-sorted scores, so however many there are all count.
+    """
+    each = rated.groupBy("score").agg(F.count("*").alias("n"), F.count_if("harmful").alias("h"))
+    each = cut(each.withColumns({"_all": F.lit(0), "_down": -F.col("score")}))
+    n, h = each.agg(F.sum("n"), F.sum("h")).first()
+    if not n or h in (0, n):
         return 0.5
-    order = np.argsort(-scores, kind="stable")
-    s, h = scores[order], harmful[order].astype(float)
-    hit = np.cumsum(h)
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + h.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1  # equal scores stand on one side
-    k = int(np.argmax(f1))
-    below = s[k + 1] if k + 1 < len(s) else s[k] / 2
-    return float(np.clip(np.sqrt(s[k] * max(below, 1e-6)), 1e-4, 0.99))
+    sums = range_prefix_sums(each, ["_all"], ["_down"], {"taken": "n", "hit": "h"})
+    s = sums.agg(F.max(F.struct((2 * F.col("hit") / (F.col("taken") + h)).alias("f1"), "score")).alias("m")).first()["m"]["score"]
+    below = each.where(F.col("score") < s).agg(F.max("score").alias("below")).first()["below"]
+    return float(np.clip(np.sqrt(s * max(s / 2 if below is None else below, 1e-6)), 1e-4, 0.99))
 
 
 def voted_passages(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -536,8 +538,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_passages: int = FIT_
     joined = ids.join(worst.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     scored = cut(joined.select("doc_id", "source", F.coalesce("score", F.lit(0.0)).alias("score")))
     rated = labels.where(F.col("harmful").isNotNull()).groupBy("doc_id").agg(F.avg("harmful").alias("rated")).where(F.col("rated") != 0.5)
-    sample = scored.join(rated, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS).select("score", "rated").toPandas()
-    at = best_cut(sample["score"].to_numpy(), (sample["rated"] > 0.5).to_numpy(dtype=bool))
+    at = best_cut(scored.join(rated, "doc_id").select("score", (F.col("rated") > 0.5).alias("harmful")))
     clear = F.greatest(F.least(F.col("score"), F.lit(1 - 1e-9)), F.lit(1e-9))
     shifted = 1 / (1 + F.exp(-(F.log(clear / (1 - clear)) - math.log(at / (1 - at)))))
     return scored.select("doc_id", "source", F.when(F.col("score") > 0, shifted).otherwise(0.0).alias("score"))

@@ -51,6 +51,20 @@ def test_label_model_finds_accuracies_and_repeats():
     assert harm.fit_label_model([], np.array([])).posterior([]).shape == (0,)
 
 
+def test_every_rated_document_moves_the_cut(spark):
+    r = np.random.default_rng(3)
+    harmful = r.random(25_000) < 0.2
+    scores = np.round(np.clip(r.normal(np.where(harmful, 0.6, 0.3), 0.15), 0.001, 0.999), 3)  # with ties
+    best, at = -1.0, 0.5
+    for s in np.unique(scores)[::-1]:
+        f1 = 2 * (harmful & (scores >= s)).sum() / ((scores >= s).sum() + harmful.sum())
+        if f1 > best:
+            best, at = f1, np.sqrt(s * scores[scores < s].max(initial=0.0005))
+    rows = spark.createDataFrame(list(zip(scores.tolist(), harmful.tolist())), "score double, harmful boolean")
+    assert harm.best_cut(rows) == pytest.approx(at)
+    assert harm.best_cut(rows.where("harmful")) == harm.best_cut(rows.limit(0)) == 0.5
+
+
 def test_scores_on_a_small_corpus(spark):
     bad = ["You worthless moron, get lost.", "I will come to your house and break your fingers, you idiot.", "Send me naked pictures of yourself.", "Foreigners are vermin and should be thrown out."]
     good = ["The parcel came late but the mug is fine.", "Please correct invoice 400123.", "Kill the stuck export job first.", "Spotted dick basin, oven proof.", "Rows 3 and 4 repeat each other."]
