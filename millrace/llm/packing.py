@@ -1,24 +1,31 @@
 """Filling fixed-capacity containers with documents by lexical retrieval.
 
-Documents are dealt to shards by hash; each shard holds an inverted index with BM25 weights
-over token ids, whose document frequencies are counted over the whole corpus.  The longest
-unused document seeds a container, its unused neighbours are taken in order of their score
-while they fit, and the last gap goes to the best fit.  The contents of containers that stay
+Documents are ranked by a lexical key and cut into shards of equal size, so that those alike
+stand together however large the corpus is and a large group of copies fills several shards.
+Each shard holds an inverted index with BM25 weights over token ids, whose document frequencies
+are counted over the whole corpus.  The longest unused document seeds a container, its unused
+neighbours are taken in order of their score while they fit, and the last gap goes to the best
+fit.  The contents of containers that stay
 too empty are packed once more together with those of other shards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import encode_documents
+from millrace.operators.ordered import range_prefix_sums
 from millrace.session import cut
 
 CAPACITY = 2048
 SHARD_ITEMS = 2000
+#: Terms of a lexical key.
+KEY_TERMS = 4
 K1, B = 1.2, 0.75
 #: Containers filled less than this are packed again across shards.
 FULL = 0.97
@@ -36,6 +43,16 @@ def bm25_rows(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> tu
     return doc, term, weight
 
 
+def lexical_keys(docs: list[np.ndarray], idf: np.ndarray) -> list[str]:
+    """A key per document, to sort by.
+
+    Each of its terms is the document's least under a random order of the vocabulary in which a
+    rare term tends to come first, so two documents share it as often as they share weight of terms.
+    """
+    chance = np.random.default_rng(5).exponential(size=(KEY_TERMS, len(idf))) / np.maximum(idf, 1e-9)
+    return ["".join(f"{d[k]:08x}" for k in chance[:, d].argmin(axis=1)) if len(d) else "" for d in docs]
+
+
 def fill(sizes: np.ndarray, docs: list[np.ndarray], capacity: int, idf: np.ndarray, mean_length: float) -> list[list[int]]:
     """Containers as lists of item numbers; every item fits by itself.  Ties go to the lower number."""
     n = len(sizes)
@@ -99,6 +116,14 @@ def _pack(key: str, capacity: int, idf: np.ndarray, mean_length: float, again: b
     return run
 
 
+def _keyed(idf: np.ndarray):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"row": part["row"], "piece": part["piece"], "key": lexical_keys([np.asarray(x, dtype=np.int64) for x in part["terms"]], idf)})
+
+    return run
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, vocabulary: int = 50_257, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``n_tokens``, ``container_id``, ``position`` of every document.
 
@@ -109,7 +134,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, vocabulary: int = 50_257, s
     """
     spark = items.sparkSession
     key = items.schema["doc_id"].dataType.simpleString()
-    sized = cut(items.select("doc_id", "ids", F.size("ids").alias("n")))
+    sized = cut(items.select("doc_id", "ids", F.size("ids").alias("n"), F.monotonically_increasing_id().alias("row")))
     totals = sized.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
     if not totals["docs"]:
         return spark.createDataFrame([], f"doc_id {key}, piece int, start int, n_tokens int, container_id bigint, position int")
@@ -125,12 +150,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, vocabulary: int = 50_257, s
     cutup = sized.withColumn("piece", F.explode(pieces)).withColumn("start", F.col("piece") * cap)
     cutup = cutup.withColumn("n_tokens", F.least(n - F.col("start"), cap).cast("int"))
     alone = cutup.where(F.col("n_tokens") == cap)
-    shards = max(1, -(-int(totals["docs"]) // shard_items))
     lone_id = F.lit(1 << 62) + F.monotonically_increasing_id()  # row numbers of a stored table, unlike any shard's
     full = alone.select("doc_id", "piece", "start", "n_tokens", lone_id.alias("container_id"), F.lit(0).alias("position"))
-    # dealt by row number, not by content, so that copies of one document spread over the shards
     rest = cutup.where(F.col("n_tokens") < cap)
-    rest = rest.select("doc_id", "piece", "start", "n_tokens", F.slice("ids", F.col("start") + 1, F.col("n_tokens")).alias("terms"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
+    rest = rest.select("row", "doc_id", "piece", "start", "n_tokens", F.slice("ids", F.col("start") + 1, F.col("n_tokens")).alias("terms"))
+    keyed = rest.select("row", "piece", "terms").mapInPandas(_keyed(idf), "row bigint, piece int, key string")
+    ranked = range_prefix_sums(keyed.withColumns({"_all": F.lit(0), "_one": F.lit(1)}), ["_all"], ["key", "row", "piece"], {"_rank": "_one"})
+    rest = rest.join(ranked.select("row", "piece", F.floor((F.col("_rank") - 1) / shard_items).cast("bigint").alias("shard")), ["row", "piece"]).drop("row")
     shape = _OUT.format(key=key)
     first = cut(rest.groupBy("shard").applyInPandas(_pack(key, capacity, idf, mean, False), shape + ", terms array<int>"))
     good = F.col("filled") >= FULL * capacity

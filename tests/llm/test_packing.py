@@ -44,6 +44,17 @@ def test_neighbours_share_words():
     assert all(len({i % 2 for i in box[:6]}) == 1 for box in boxes[:4])
 
 
+def test_neighbours_meet_in_one_shard(spark):
+    r = random.Random(4)
+    ids = {k: [r.randrange(40) + 50 * (k % 60) for _ in range(25)] for k in range(1200)}  # 60 subjects
+    df = spark.createDataFrame(list(ids.items()), "doc_id long, ids array<int>").repartition(5)
+    boxes = {}
+    for row in packing.pack(df, capacity=100, shard_items=60).collect():
+        boxes.setdefault(row.container_id, []).append(row.doc_id % 60)
+    alike = sum(len(b) - len(set(b)) for b in boxes.values())
+    assert alike >= 0.6 * sum(len(b) - 1 for b in boxes.values())
+
+
 def test_repeats_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, [1, 2]), (1, [1, 2]), (None, [3]), (2, [])], "doc_id long, ids array<int>")
     rows = packing.pack(df, capacity=10).collect()
