@@ -67,6 +67,13 @@ def path_month(path: Column) -> Column:
     return F.coalesce(F.nullif(folder, F.lit("")), F.nullif(name, F.lit("")))
 
 
+def file_named(path: Column, country: Column, month: Column) -> Column:
+    """Whether a file's name is its country's slug and month, alone or with more after an underscore."""
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    want = F.concat_ws("_", slug(country), month)
+    return F.when(month.isNotNull(), (stem == want) | F.startswith(stem, F.concat(want, F.lit("_"))))
+
+
 def formula_like(c: Column) -> Column:
     """Text that a spreadsheet would run: starts with = + @, tab or return, or with - unless it is a number."""
     return F.coalesce(c.rlike(r"^[=+@\t\r]") & ~trimmed(c).rlike(NUMBER) | (c.rlike("^-") & ~trimmed(c).rlike(NUMBER)), F.lit(False))

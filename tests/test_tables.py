@@ -34,6 +34,12 @@ def test_scalars(spark, function, given, want):
     assert [r.x for r in df.select("k", function(F.col("v")).alias("x")).orderBy("k").collect()] == want
 
 
+def test_file_is_named_by_country_and_month(spark):
+    paths = ["in/2024-03/united_kingdom_2024-03.xlsx", "united_kingdom_2024-03_7.xlsx", "in/france_2024-03.xlsx", "united_kingdom_2024-031.xlsx", "united_kingdom_2024-04/x.xlsx"]
+    df = spark.createDataFrame([(k, p, "United Kingdom", "2024-03") for k, p in enumerate(paths)] + [(5, paths[0], "United Kingdom", None)], "k int, p string, c string, m string")
+    assert [r.x for r in df.select("k", text.file_named(F.col("p"), F.col("c"), F.col("m")).alias("x")).orderBy("k").collect()] == [True, True, False, False, False, None]
+
+
 def test_safe_ratio(spark):
     assert [r.x for r in spark.createDataFrame([(1, 3), (1, 0)], "a int, b int").select(text.safe_ratio(F.col("a"), F.col("b")).alias("x")).collect()] == [0.333333, 0.0]
 
