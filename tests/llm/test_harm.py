@@ -92,3 +92,19 @@ def test_empty(spark):
     assert harm.score_documents(spark.createDataFrame([], DOC), spark.createDataFrame([], LABEL)).count() == 0
     alone = harm.score_documents(spark.createDataFrame([(1, "The lid fits.", "a", "x")], DOC), spark.createDataFrame([], LABEL)).first()
     assert alone.score < harm.THRESHOLD
+
+
+def test_sentences_that_the_corpus_does_not_have(spark):
+    from importlib.util import module_from_spec, spec_from_file_location
+    from pathlib import Path
+
+    spec = spec_from_file_location("held_out_sentences", Path(__file__).with_name("held_out_sentences.py"))
+    held = module_from_spec(spec)
+    spec.loader.exec_module(held)
+    assert len(held.HARMFUL) + len(held.HARMLESS) >= 200
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "doc_label"))
+    own = spark.createDataFrame([(-1 - k, t, "held") for k, t in enumerate([*held.HARMFUL, *held.HARMLESS])], "doc_id long, text string, source string")
+    scored = harm.score_documents(docs.select("doc_id", "text", "source").unionByName(own), labels).where("doc_id < 0").collect()
+    found = {-1 - r.doc_id for r in scored if r.score >= harm.THRESHOLD}
+    right = len([k for k in found if k < len(held.HARMFUL)])
+    assert right >= 0.8 * len(found) and right >= 0.8 * len(held.HARMFUL), (right, len(found), len(held.HARMFUL))
