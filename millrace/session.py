@@ -77,3 +77,42 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
+class Folder:
+    """A folder that all executors share, through Hadoop's file system; small texts and whole subfolders only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _at(self, name: str):  # noqa: ANN202
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        """Names inside a subfolder, in order; none where it does not exist."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(name))) if self.exists(name) else []
+
+    def exists(self, name: str = "") -> bool:
+        return bool(self._fs.exists(self._at(name)))
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Write a text in one step: readers see all of it or, before, nothing."""
+        held = f"{name}.{uuid.uuid4().hex}"
+        stream = self._fs.create(self._at(held), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not self._fs.rename(self._at(held), self._at(name)):
+            self.remove(held)
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def remove(self, name: str = "") -> None:
+        self._fs.delete(self._at(name), True)
