@@ -20,6 +20,8 @@ from millrace.session import cut
 #: Columns of a tile's side and entries of a basket block; they bound what one task holds.
 BLOCK_ITEMS = 2048
 BLOCK_ENTRIES = 400_000
+#: Different pairs that a task holds before it passes their counts on.
+BLOCK_CODES = 4_000_000
 _TILE = "ia int, ib int, la int, lb int, n bigint"
 
 
@@ -45,25 +47,89 @@ def dictionary(members: DataFrame, least: int, block_items: int) -> DataFrame:
     return placed.withColumn("slot", (F.row_number().over(Window.partitionBy("block").orderBy("item")) - 1).cast("int"))
 
 
-def _gram(tiles: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Transposed rows of block a times rows of block b, per basket block and tile."""
-    for part in tiles:
-        out = []
-        for (ia, ib), rows in part.groupby(["ia", "ib"], sort=False):
-            a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
-            na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-            fa, fb = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
-            # CSR product row by row: each entry of a's row meets all entries of b's row
-            begins_b = np.concatenate([[0], np.cumsum(nb)[:-1]])
-            per_entry = np.repeat(nb, na)
-            first = np.repeat(np.repeat(begins_b, na), per_entry)
-            inner = np.arange(per_entry.sum()) - np.repeat(np.cumsum(per_entry) - per_entry, per_entry)
-            left, right = np.repeat(fa, per_entry), fb[first + inner]
-            if ia == ib:
-                left, right = left[left < right], right[left < right]
-            codes, counts = np.unique(left * (1 << 31) + right, return_counts=True)
-            out.append(pd.DataFrame({"ia": ia, "ib": ib, "la": codes >> 31, "lb": codes & ((1 << 31) - 1), "n": counts}))
-        yield pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("ia", "ib", "la", "lb", "n")})
+def _products(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[np.ndarray]:
+    """Codes ``left << 31 | right`` of the entries of transposed rows of block a times rows of block b, some baskets at a time."""
+    work = np.cumsum([len(x) * len(y) for x, y in zip(a, b)])
+    for rows in np.split(np.arange(len(a)), np.searchsorted(work, np.arange(BLOCK_ENTRIES, work[-1] if len(work) else 0, BLOCK_ENTRIES))):
+        if not len(rows):
+            continue
+        na, nb = np.array([len(a[k]) for k in rows]), np.array([len(b[k]) for k in rows])
+        fa, fb = np.concatenate([a[k] for k in rows]).astype(np.int64), np.concatenate([b[k] for k in rows]).astype(np.int64)
+        # CSR product row by row: each entry of a's row meets all entries of b's row
+        per_entry = np.repeat(nb, na)
+        first = np.repeat(np.repeat(np.cumsum(nb) - nb, na), per_entry)
+        inner = np.arange(per_entry.sum()) - np.repeat(np.cumsum(per_entry) - per_entry, per_entry)
+        left, right = np.repeat(fa, per_entry), fb[first + inner]
+        yield (left << 31 | right)[left < right] if same else left << 31 | right
+
+
+class _Sums:
+    """Counts of codes, added up as they come; held until there are ``BLOCK_CODES`` different ones."""
+
+    def __init__(self):
+        self.codes, self.counts, self.waiting, self.held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), [], 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.waiting.append(codes)
+        self.held += len(codes)
+        if self.held > 4 * BLOCK_ENTRIES:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            new, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            codes, at = np.unique(np.concatenate([self.codes, new]), return_inverse=True)
+            self.counts = np.bincount(at, weights=np.concatenate([self.counts, n]), minlength=len(codes)).astype(np.int64)
+            self.codes, self.waiting, self.held = codes, [], 0
+
+    def take(self, ia: int, ib: int) -> pd.DataFrame:
+        self.settle()
+        out = pd.DataFrame({"ia": ia, "ib": ib, "la": self.codes >> 31, "lb": self.codes & ((1 << 31) - 1), "n": self.counts})
+        self.__init__()
+        return out
+
+
+def _tile(part: pd.DataFrame) -> pd.DataFrame:
+    """Counts of one tile over one block of baskets: ``side`` is 0 for rows of block a, 1 for b, 2 where both are the same block."""
+    ia, ib = int(part["ia"].iloc[0]), int(part["ib"].iloc[0])
+    sums = _Sums()
+    if ia == ib:
+        a = b = part["slots"].tolist()
+    else:
+        other = dict(zip(part["basket"][part["side"] == 1], part["slots"][part["side"] == 1]))
+        mine = part[part["side"] == 0]
+        a, b = mine["slots"].tolist(), [other[x] for x in mine["basket"]]
+    for codes in _products(a, b, ia == ib):
+        sums.add(codes)
+    return sums.take(ia, ib)
+
+
+def _one_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the only tile over the baskets of a partition; no basket has to move."""
+    sums = _Sums()
+    for batch in batches:
+        for codes in _products(batch["slots"].tolist(), batch["slots"].tolist(), True):
+            sums.add(codes)
+            if len(sums.codes) > BLOCK_CODES:
+                yield sums.take(0, 0)
+    yield sums.take(0, 0)
+
+
+def tile_counts(vectors: DataFrame) -> DataFrame:
+    """Counts per tile and basket block of ``vectors`` (basket, block, slots), combined before they are moved on.
+
+    Each row goes to the tiles of its block with each block that its basket has, so a large
+    basket is spread over as many tasks as it has tiles; a tile's baskets are cut into blocks of
+    about ``BLOCK_ENTRIES`` entries.
+    """
+    lists = vectors.groupBy("basket").agg(F.sort_array(F.collect_list("block")).alias("blocks"))  # at most the number of blocks
+    dealt = vectors.join(lists, "basket").withColumn("_other", F.explode("blocks"))
+    low, high = F.least("block", "_other"), F.greatest("block", "_other")
+    side = F.when(F.col("block") == F.col("_other"), 2).when(F.col("block") < F.col("_other"), 0).otherwise(1)
+    dealt = dealt.select("basket", "slots", low.alias("ia"), high.alias("ib"), side.alias("side"))
+    sizes = dealt.groupBy("ia", "ib").agg(F.ceil(F.sum(F.size("slots")) / BLOCK_ENTRIES).alias("_parts"))
+    parted = dealt.join(sizes, ["ia", "ib"]).withColumn("part", F.pmod(F.xxhash64("basket"), F.col("_parts")))
+    return parted.groupBy("ia", "ib", "part").applyInPandas(_tile, _TILE)
 
 
 def pair_counts(
@@ -83,15 +149,10 @@ def pair_counts(
     items = cut(dictionary(members, least, block_items))
     placed = members.join(items.select("item", "block", "slot"), "item")
     vectors = placed.groupBy("basket", "block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # at most a block's items
-    a = vectors.select("basket", F.col("block").alias("ia"), F.col("slots").alias("a"))
     if items.select(F.max("block")).first()[0]:
-        vectors = cut(vectors)
-        a = vectors.select("basket", F.col("block").alias("ia"), F.col("slots").alias("a"))
-        b = vectors.select(F.col("basket").alias("_basket"), F.col("block").alias("ib"), F.col("slots").alias("b"))
-        tiles = a.join(b, (F.col("basket") == F.col("_basket")) & (F.col("ia") <= F.col("ib")))
+        counted = tile_counts(cut(vectors))
     else:
-        tiles = a.withColumns({"ib": F.col("ia"), "b": F.col("a")})
-    counted = tiles.select("ia", "ib", "a", "b").mapInPandas(_batched, _TILE)
+        counted = vectors.select("slots").mapInPandas(_one_block, _TILE)
     summed = counted.groupBy("ia", "ib", "la", "lb").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     name = lambda side: items.select(
         F.col("block").alias(f"i{side}"), F.col("slot").alias(f"l{side}"), F.col("item").alias(f"name_{side}"), F.col("n_with").alias(f"with_{side}")
@@ -107,26 +168,6 @@ def pair_counts(
     return out.withColumns({"expected": expected, "lift": F.col("n_together") / expected})
 
 
-def _batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Gather basket rows until a block is full, so that counts shrink before they are moved."""
-    held, work = [], 0
-    for batch in batches:
-        size = batch["a"].map(len).to_numpy().astype(np.int64) * batch["b"].map(len).to_numpy()
-        at = 0
-        while at < len(batch):
-            room = int(np.searchsorted(np.cumsum(size[at:]), BLOCK_ENTRIES - work, side="right"))
-            take = max(room, 0 if held else 1)
-            if take:
-                held.append(batch.iloc[at : at + take])
-                work += int(size[at : at + take].sum())
-                at += take
-            if at < len(batch):
-                yield from _gram(iter([pd.concat(held)]))
-                held, work = [], 0
-    if held:
-        yield from _gram(iter([pd.concat(held)]))
-
-
 def strong_pairs(pairs: DataFrame, least_pair: int = 5, share: int = 500, times: int = 3) -> DataFrame:
     """Pairs on enough baskets and at least ``times`` as often as chance, decided on whole numbers."""
     big = lambda c: F.col(c).cast("decimal(19,0)")

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import together
 
@@ -40,8 +41,8 @@ def test_small_task_blocks(spark, monkeypatch):
     baskets = defaultdict(set)
     for b, i, _ in data:
         baskets[b].add(int(i[1:]))
-    frame = pd.DataFrame({"ia": 0, "ib": 0, "a": [sorted(v) for v in baskets.values()], "b": [sorted(v) for v in baskets.values()]})
-    out = pd.concat(together._batched(iter([frame]))).groupby(["la", "lb"])["n"].sum().to_dict()
+    frame = pd.DataFrame({"slots": [sorted(v) for v in baskets.values()]})
+    out = pd.concat(together._one_block(iter([frame]))).groupby(["la", "lb"])["n"].sum().to_dict()
     assert {(f"P{a}", f"P{b}") if f"P{a}" < f"P{b}" else (f"P{b}", f"P{a}"): n for (a, b), n in out.items()} == {p: v[0] for p, v in brute(data).items()}
 
 
@@ -59,3 +60,30 @@ def test_empty_and_single(spark):
     assert together.pair_counts(spark.createDataFrame([], ROW), "invoice_id", together.clean_item("product_id")).count() == 0
     lone = spark.createDataFrame([("1", "a", 1), ("1", " A ", 1), (None, "b", 1), ("2", None, 1)], ROW)
     assert together.pair_counts(lone, "invoice_id", together.clean_item("product_id")).count() == 0
+
+
+def test_counts_are_combined_before_they_move(spark):
+    r = random.Random(11)
+    data = [(str(k), f"p{i}", 1) for k in range(40) for i in r.sample(range(30), 12)]
+    often = [(f"{k}-{b}", i, n) for k in range(20) for b, i, n in data]
+    rows = []
+    for part in (data, often):
+        members = together.memberships(spark.createDataFrame(part, ROW), "invoice_id", together.clean_item("product_id"))
+        items = together.dictionary(members, 1, 8)
+        vectors = members.join(items, "item").groupBy("basket", "block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+        rows.append((together.tile_counts(vectors).count(), vectors.agg(F.max("block")).first()[0]))
+    assert rows[0][0] == rows[1][0] == len(brute(data)) and rows[0][1] > 2
+
+
+def test_one_basket_of_very_many_items(spark):
+    r = random.Random(12)
+    big = [("big", f"p{k}", 1) for k in range(50_000)]
+    data = big + [(str(b), f"p{r.randrange(1500)}", 1) for b in range(600) for _ in range(8)]
+    got = {(x.item_a, x.item_b): x.n_together for x in together.pair_counts(spark.createDataFrame(data, ROW), "invoice_id", together.clean_item("product_id"), 2, block_items=256).collect()}
+    small = Counter()
+    baskets = defaultdict(set)
+    for b, i, _ in data[len(big) :]:
+        baskets[b].add(i.upper())
+    for items in baskets.values():
+        small.update(itertools.combinations(sorted(items), 2))
+    assert got == {p: n + 1 for p, n in small.items()}
