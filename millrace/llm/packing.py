@@ -1,17 +1,19 @@
 """Filling fixed-capacity containers with documents by lexical retrieval.
 
-Documents are ranked by a lexical key and cut into shards of equal size, so that those alike
-stand together however large the corpus is and a large group of copies fills several shards.
-Each shard holds an inverted index with BM25 weights over token ids, whose document frequencies
-are counted over the whole corpus.  The longest unused document seeds a container, its unused
-neighbours are taken in order of their score while they fit, and the last gap goes to the best
-fit.  The contents of containers that stay
-too empty are packed once more together with those of other shards.
+The corpus is cut into shards of equal size along an order in which documents alike stand together:
+first by the leaf of a tree of lexical clusters, fitted on a bounded sample, then by a lexical key,
+so that a cluster or a group of copies of any size fills several shards.  Each shard holds an
+inverted index with BM25 weights over token ids, whose document frequencies are counted over the
+whole corpus.  The longest unused document seeds a container and its unused neighbours are taken
+in order of their score while they fit; the last gap goes to the longest neighbours that fit it, and
+only what no neighbour fills to other documents.  The contents of containers that stay too empty
+are packed once more together with those of other shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,12 @@ from millrace.operators.ordered import range_prefix_sums
 from millrace.session import cut
 
 CAPACITY = 2048
-SHARD_ITEMS = 2000
+SHARD_ITEMS = 4000
+#: Bound of the documents on which the tree of clusters is fitted, and the least that one of its leaves has of them.
+FIT_ITEMS = 20_000
+LEAF_ITEMS = 20
+#: Numbers that stand for a document's weighted terms in the tree.
+SKETCH = 512
 #: Terms of a lexical key.
 KEY_TERMS = 4
 K1, B = 1.2, 0.75
@@ -53,14 +60,95 @@ def lexical_keys(docs: list[np.ndarray], idf: np.ndarray) -> list[str]:
     return ["".join(f"{d[k]:08x}" for k in chance[:, d].argmin(axis=1)) if len(d) else "" for d in docs]
 
 
+def sketches(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """BM25 weights of each document's terms, added up in ``SKETCH`` signed cells and brought to length 1."""
+    doc, term, weight = bm25_rows(docs, idf, mean_length)
+    mixed = term.astype(np.uint32) * np.uint32(2654435761)
+    mixed ^= mixed >> np.uint32(15)
+    signed = np.where(mixed & np.uint32(1 << 12), weight, -weight)
+    flat = np.bincount(doc * SKETCH + mixed % np.uint32(SKETCH), weights=signed, minlength=len(docs) * SKETCH)
+    out = flat.reshape(len(docs), SKETCH).astype(np.float32)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+@dataclass(frozen=True)
+class ClusterTree:
+    """Halves of halves of a sample: per inner node a direction and the value that parts it; ``below`` are the nodes of its sides (-1: a leaf)."""
+
+    direction: np.ndarray
+    cut: np.ndarray
+    below: np.ndarray
+
+    def leaves(self, points: np.ndarray) -> list[str]:
+        """The way of each point from the root, as a text of 0 and 1; ways that part late are alike and sort together."""
+        at, way = np.zeros(len(points), dtype=np.int64) - (len(self.cut) == 0), [[] for _ in range(len(points))]
+        while (open_ := np.nonzero(at >= 0)[0]).size:
+            side = (points[open_] * self.direction[at[open_]]).sum(axis=1) > self.cut[at[open_]]
+            for k, s in zip(open_.tolist(), side.tolist()):
+                way[k].append("1" if s else "0")
+            at[open_] = self.below[at[open_], side.astype(int)]
+        return ["".join(w) for w in way]
+
+
+def fit_tree(points: np.ndarray, least: int = LEAF_ITEMS, rounds: int = 12, seed: int = 3) -> ClusterTree:
+    """Part ``points`` in two halves about two centres, each half again, down to leaves of under 2 * ``least``."""
+    rng = np.random.default_rng(seed)
+    direction, cuts, below, waiting = [], [], [], [(np.arange(len(points)), -1, 0)]
+    while waiting:
+        rows, above, side = waiting.pop()
+        if len(rows) < 2 * least:
+            continue
+        x = points[rows]
+        centres = x[rng.choice(len(rows), 2, replace=False)]
+        for _ in range(rounds):
+            lean = x @ (centres[0] - centres[1])
+            middle = np.median(lean)
+            over = lean > middle
+            if over.all() or not over.any():
+                break
+            means = np.stack([x[over].mean(axis=0), x[~over].mean(axis=0)])
+            centres = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+        if over.all() or not over.any():  # all alike
+            continue
+        lean = x @ (centres[0] - centres[1])
+        middle = np.median(lean)
+        over = lean > middle
+        if over.all() or not over.any():
+            continue
+        direction.append(centres[0] - centres[1])
+        cuts.append(middle)
+        below.append([-1, -1])
+        if above >= 0:
+            below[above][side] = len(cuts) - 1
+        waiting += [(rows[over], len(cuts) - 1, 1), (rows[~over], len(cuts) - 1, 0)]
+    return ClusterTree(np.array(direction, dtype=np.float32).reshape(len(cuts), points.shape[1]), np.array(cuts, dtype=np.float32), np.array(below, dtype=np.int64).reshape(len(cuts), 2))
+
+
+def gap_filler(items: np.ndarray, sizes: np.ndarray, room: int) -> list[int]:
+    """Items for a gap: again and again the longest that fits, in the order given among equals."""
+    out: list[int] = []
+    fitting = items[sizes[items] <= room]
+    fitting = fitting[np.argsort(-sizes[fitting], kind="stable")]
+    for i in fitting[sizes[fitting] > 0]:
+        if sizes[i] <= room:
+            out.append(int(i))
+            room -= int(sizes[i])
+        if not room:
+            break
+    return out
+
+
 def fill(sizes: np.ndarray, docs: list[np.ndarray], capacity: int, idf: np.ndarray, mean_length: float) -> list[list[int]]:
-    """Containers as lists of item numbers; every item fits by itself.  Ties go to the lower number."""
+    """Containers as lists of item numbers, the seed first; every item fits by itself.  Ties go to the lower number.
+
+    Items without tokens go into the first container.
+    """
     n = len(sizes)
     doc, term, weight = bm25_rows(docs, idf, mean_length)
     own = np.searchsorted(doc, np.arange(n + 1))
     by_term = np.argsort(term, kind="stable")
     holders, holder_weight, sorted_terms = doc[by_term], weight[by_term], term[by_term]
-    unused = np.ones(n, dtype=bool)
+    unused = sizes > 0
     by_size = np.lexsort((np.arange(n), -sizes))
     out = []
     for seed in by_size:
@@ -71,28 +159,29 @@ def fill(sizes: np.ndarray, docs: list[np.ndarray], capacity: int, idf: np.ndarr
         terms = term[own[seed] : own[seed + 1]]
         lo, hi = np.searchsorted(sorted_terms, terms), np.searchsorted(sorted_terms, terms, side="right")
         count = hi - lo
+        near = ranked = np.empty(0, dtype=np.int64)
         if room and count.sum():
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
             score = np.bincount(holders[at], weights=holder_weight[at], minlength=n)
             near = np.nonzero(unused & (score > 0) & (sizes <= room))[0]
-            typical = np.median(sizes[near]) if len(near) else 0
-            for i in near[np.lexsort((near, -score[near]))]:
-                if room < 2 * typical:
-                    break
-                if sizes[i] <= room:
-                    box.append(int(i))
-                    unused[i] = False
-                    room -= int(sizes[i])
-        while room:  # the rest goes to the longest items that fit
-            left = by_size[unused[by_size]]
-            fits = left[sizes[left] <= room]
-            if not len(fits):
-                break
-            box.append(int(fits[0]))
-            unused[fits[0]] = False
-            room -= int(sizes[fits[0]])
+            ranked = near[np.lexsort((near, -score[near]))]
+        typical = np.median(sizes[near]) if len(near) else 0
+        taken = 0
+        while taken < len(ranked) and room >= 2 * typical:  # then the neighbours that are left compete for the gap
+            i = int(ranked[taken])
+            taken += 1
+            if sizes[i] <= room:
+                box.append(i)
+                unused[i] = False
+                room -= int(sizes[i])
+        for items in (ranked[taken:], by_size):
+            added = gap_filler(items[unused[items]], sizes, room) if room else []
+            box += added
+            unused[added] = False
+            room -= int(sizes[added].sum())
         out.append(box)
-    return out
+    empty = np.nonzero(sizes == 0)[0].tolist()
+    return [out[0] + empty, *out[1:]] if out else [empty] if empty else []
 
 
 def _pack(key: str, capacity: int, idf: np.ndarray, mean_length: float, again: bool):
@@ -116,10 +205,20 @@ def _pack(key: str, capacity: int, idf: np.ndarray, mean_length: float, again: b
     return run
 
 
-def _keyed(idf: np.ndarray):
+def _sketched(idf: np.ndarray, mean_length: float):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = sketches([np.asarray(x, dtype=np.int64) for x in part["ids"]], idf, mean_length)
+            yield pd.DataFrame({"sketch": [r.tobytes() for r in rows]})
+
+    return run
+
+
+def _keyed(idf: np.ndarray, mean_length: float, tree: ClusterTree):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"row": part["row"], "piece": part["piece"], "key": lexical_keys([np.asarray(x, dtype=np.int64) for x in part["terms"]], idf)})
+            docs = [np.asarray(x, dtype=np.int64) for x in part["terms"]]
+            yield pd.DataFrame({"row": part["row"], "piece": part["piece"], "leaf": tree.leaves(sketches(docs, idf, mean_length)), "key": lexical_keys(docs, idf)})
 
     return run
 
@@ -154,8 +253,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, vocabulary: int = 50_257, s
     full = alone.select("doc_id", "piece", "start", "n_tokens", lone_id.alias("container_id"), F.lit(0).alias("position"))
     rest = cutup.where(F.col("n_tokens") < cap)
     rest = rest.select("row", "doc_id", "piece", "start", "n_tokens", F.slice("ids", F.col("start") + 1, F.col("n_tokens")).alias("terms"))
-    keyed = rest.select("row", "piece", "terms").mapInPandas(_keyed(idf), "row bigint, piece int, key string")
-    ranked = range_prefix_sums(keyed.withColumns({"_all": F.lit(0), "_one": F.lit(1)}), ["_all"], ["key", "row", "piece"], {"_rank": "_one"})
+    sample = sized.where(n > 0).orderBy(F.xxhash64("row"), "row").limit(FIT_ITEMS).select("ids").mapInPandas(_sketched(idf, mean), "sketch binary").toPandas()["sketch"]
+    tree = fit_tree(np.frombuffer(b"".join(sample), dtype=np.float32).reshape(-1, SKETCH))
+    keyed = rest.select("row", "piece", "terms").mapInPandas(_keyed(idf, mean, tree), "row bigint, piece int, leaf string, key string")
+    ranked = range_prefix_sums(keyed.withColumns({"_all": F.lit(0), "_one": F.lit(1)}), ["_all"], ["leaf", "key", "row", "piece"], {"_rank": "_one"})
     rest = rest.join(ranked.select("row", "piece", F.floor((F.col("_rank") - 1) / shard_items).cast("bigint").alias("shard")), ["row", "piece"]).drop("row")
     shape = _OUT.format(key=key)
     first = cut(rest.groupBy("shard").applyInPandas(_pack(key, capacity, idf, mean, False), shape + ", terms array<int>"))

@@ -67,3 +67,41 @@ def test_documents_fill_their_containers(spark, sf_dir):
     packed = packing.pack_documents(docs, 512)
     assert packing.usage(packed, 512).first().used > 0.95
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def relatedness(rows, docs, idf):
+    """Mean share of term weight that a container's members have in common with its seed."""
+    boxes = {}
+    for r in rows:
+        if r.n_tokens and r.n_tokens < packing.CAPACITY:
+            boxes.setdefault(r.container_id, []).append((r.position, r.doc_id, r.start, r.n_tokens))
+    terms = lambda x: np.unique(docs[x[1]][x[2] : x[2] + x[3]])
+    out = []
+    for box in boxes.values():
+        seed, *others = map(terms, sorted(box))
+        for other in others:
+            both = idf[np.intersect1d(seed, other)].sum()
+            out.append(both / (idf[seed].sum() + idf[other].sum() - both))
+    return np.mean(out)
+
+
+@pytest.mark.parametrize(("size", "shard"), [("sf0.01", 300), ("sf0.1", 2000)])
+def test_members_are_as_near_to_their_seed_as_without_shards(spark, size, shard):
+    encoded = packing.encode_documents(spark.read.parquet(f"/root/testdata/{size}/documents.parquet")).cache()
+    docs = {r.doc_id: np.array(r.ids, dtype=np.int64) for r in encoded.collect()}
+    counts = np.zeros(50_257)
+    for d in docs.values():
+        counts[np.unique(d)] += 1
+    idf = np.log1p((len(docs) - counts + 0.5) / (counts + 0.5))
+    whole, cut = (packing.pack(encoded, shard_items=n) for n in (10**9, shard))
+    near, used = relatedness(cut.collect(), docs, idf), packing.usage(cut).first().used
+    assert near >= 0.9 * relatedness(whole.collect(), docs, idf) and used >= 0.97 + 0.02 * (size == "sf0.1")
+
+
+def test_tree_of_equal_and_few_points():
+    alike = np.ones((200, packing.SKETCH), dtype=np.float32) / np.sqrt(packing.SKETCH)
+    for points in (alike, alike[:3], alike[:0]):
+        assert packing.fit_tree(points).leaves(alike) == [""] * 200
+    apart = np.eye(packing.SKETCH, dtype=np.float32)[np.arange(300) % 4]
+    ways = packing.fit_tree(apart, 20).leaves(apart)
+    assert len(set(ways)) >= 2 and all(ways[k] == ways[k % 4] for k in range(300))
