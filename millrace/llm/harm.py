@@ -301,10 +301,20 @@ def _plain(token: str) -> tuple[str, bool]:
 _MARKS = re.compile(r"[@$!*+\d]")
 
 
+@functools.lru_cache(maxsize=200_000)
+def _word(token: str) -> tuple[str, bool]:
+    """A word without disguise, and whether it was disguised."""
+    if _MARKS.search(token):
+        return _plain(token)
+    token = token.strip("'")
+    swapped = _lists()[2]
+    return (swapped[token], True) if token in swapped else (token, False)
+
+
 @functools.lru_cache(maxsize=20_000)
 def undisguise(passage: str) -> tuple[str, tuple[str, ...], bool]:
     """Lower-case text, its words, and whether a listed word was found only after undoing a disguise."""
-    tag, _, swapped, _ = _lists()
+    tag = _lists()[0]
     if passage.isascii():
         text = passage.translate(_ASCII).lower()
         if "<" in text:
@@ -333,17 +343,10 @@ def undisguise(passage: str) -> tuple[str, tuple[str, ...], bool]:
     squeezed = _RUN.sub(r"\1", text)
     if squeezed != text:
         text, hidden = squeezed, hidden or any(tag.get(w) in LISTED for w in _WORD.findall(squeezed))
-    words = []
-    for word in _WORD.findall(text):
-        if _MARKS.search(word):
-            word, was = _plain(word)
-            hidden |= was
-        else:
-            word = word.strip("'")
-            if word in swapped:
-                word, hidden = swapped[word], True
-        words.append(word)
-    return (" ".join(words) if hidden else text), tuple(words), hidden
+    read = [_word(w) for w in _WORD.findall(text)]
+    hidden = hidden or any(was for _, was in read)
+    words = tuple(w for w, _ in read)
+    return (" ".join(words) if hidden else text), words, hidden
 
 AIMED = r"""\b(?:you|u|ya|ur|you're|you are)(?: are| r| were|'re)?(?: all| people| lot| guys| two)?(?: just| nothing but| no more than| being| still)?(?: such)?(?: an?| the| one)?(?: (?:#STRONG))*,? (?:#INSULT|#AIMED)\b(?! (?:\w+ing|shaped|print))
 \b(?:he|she|they|whoever|everyone|everybody|all of (?:them|you)|(?:that|this|the) (?:man|woman|guy|girl|boy|lady|driver|manager|boss|clerk|seller|buyer|agent|colleague|person|cashier|idiot|team|crew)|(?:your|his|her|their) (?:\w+ ){1,3}?)(?: \w+){0,4}?\s?(?:is|are|'s|'re|was|were) (?:all |just |nothing but |no more than |such |still )?(?:an? |the |one |some )?(?:(?:#STRONG) )*(?:#INSULT|#AIMED)\b(?! (?:\w+ing|shaped|print|from|of the month))
@@ -363,10 +366,7 @@ def _beside(tags: list[str | None], what: str, who: frozenset[str], reach: int =
 def matched(text: str, words: tuple[str, ...]) -> set[str]:
     """The kinds of pattern that occur in an undisguised text; only those that one of its words calls for are tried."""
     kinds = _lists()[1]
-    likely: set[str] = set()
-    for w in words:
-        if w in kinds:
-            likely |= kinds[w]
+    likely = set().union(*(kinds[w] for w in words if w in kinds))
     return {kind for kind in likely if _CONTEXTS[kind].search(text)}
 
 
@@ -401,7 +401,7 @@ def _ballot(passage: str, text: str, words: tuple[str, ...], hidden: bool, tags:
     of_person = "aimed_sexual" in has and _beside(tags, "aimed_sexual", _NEAR_PERSON, 2)
     listed = not has.isdisjoint(("insult", "sexual")) or hidden and not has.isdisjoint(LISTED) or abuse or lewd or hostile
     if not listed and not found and not of_person:
-        return _NOTHING if rated is None or rated >= 0.5 else _NOTHING[:-1] + "s"
+        return _rated(_NOTHING, rated)
     benign = bool(_CONTEXTS["harmless"].search(text))
     plain = not benign
     degraded = any(a in ("degrading", "strong") and b in ("insult", "aimed") and (b == "insult" or a == "degrading" and "aimed" in found) for a, b in zip(tags, tags[1:]))
@@ -425,8 +425,14 @@ def _ballot(passage: str, text: str, words: tuple[str, ...], hidden: bool, tags:
         hostile,
         foreign,
     )
-    said = "-" if rated is None else "s" if rated < 0.5 else "h" if rated > 0.5 and any(marks) else "-"
-    return "".join("h" if m else "-" for m in marks) + ("s" if benign else "-") + said
+    return _rated("".join("h" if m else "-" for m in marks) + ("s-" if benign else "--"), rated)
+
+
+def _rated(ballot: str, rated: float | None) -> str:
+    """A ballot with the raters' vote, who speak of whole documents: harmful only where another voter says so of the passage."""
+    if rated is None or rated == 0.5:
+        return ballot
+    return ballot[:-1] + ("s" if rated < 0.5 else "h" if "h" in ballot[:-2] else "-")
 
 
 # ---------------------------------------------------------------- label model
@@ -562,20 +568,32 @@ def features(passage: str, ballot: str) -> np.ndarray:
     Tags stand for whole word lists, so what is learnt of them holds for words that no passage had.
     """
     _, words, _ = undisguise(passage)
-    return _features(passage, words, tags_of(words), ballot)
+    return feature_rows([passage], [words], [tags_of(words)], [ballot])[0]
+
+
+def feature_rows(passages_: list[str], words: list[tuple[str, ...]], tags: list[list[str | None]], ballots: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All passages' features one after another, and how many each has."""
+    owner, code = [], []
+
+    def put(own: np.ndarray, hashes: np.ndarray, pairs: bool) -> None:
+        owner.append(own)
+        code.append(hashes)
+        if pairs and len(own) > 1:
+            same = own[:-1] == own[1:]
+            owner.append(own[1:][same])
+            code.append(_mixed(hashes[:-1], hashes[1:])[same])
 
+    def each(lists: list, pairs: bool) -> None:
+        own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        put(own, np.array([h for x in lists for h in x], dtype=np.uint32), pairs)
 
-def _features(passage: str, words: tuple[str, ...], tags: list[str | None], ballot: str) -> np.ndarray:
-    hashes = np.array([_hash(w) for w in words], dtype=np.uint32)
-    parts = [hashes, _mixed(hashes[:-1], hashes[1:])]
-    if "h" in ballot[:-1]:
-        tagged = np.array([_hash("t " + t) for t in tags if t], dtype=np.uint32)
-        parts += [tagged, _mixed(tagged[:-1], tagged[1:])]
-    if not passage.isascii():
-        cjk = [c for c in passage if "぀" <= c <= "鿿"]
-        parts.append(np.array([_hash(f"c{a}{b}") for a, b in zip(cjk, cjk[1:])], dtype=np.uint32))
-    parts.append(np.array(_ballot_features(ballot), dtype=np.uint32))
-    return np.unique(np.concatenate(parts) & np.uint32(DIMENSIONS - 1)).astype(np.uint16)
+    each([[_hash(w) for w in x] for x in words], True)
+    each([[_hash("t " + t) for t in x if t] if "h" in b[:-1] else [] for x, b in zip(tags, ballots)], True)
+    cjk = [[] if p.isascii() else [c for c in p if "぀" <= c <= "鿿"] for p in passages_]
+    each([[_hash(f"c{a}{b}") for a, b in zip(x, x[1:])] for x in cjk], False)
+    each([_ballot_features(b) for b in ballots], False)
+    both = np.unique(np.concatenate(owner).astype(np.int64) << 16 | (np.concatenate(code) & np.uint32(DIMENSIONS - 1)))
+    return (both & 0xFFFF).astype(np.uint16), np.bincount(both >> 16, minlength=len(passages_))
 
 
 @dataclass(frozen=True)
@@ -642,17 +660,24 @@ def voted_passages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, said, ballots, rows = [], [], [], []
+            ids, said, at, known = [], [], [], {}
             for doc, text, share in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "rated"))):
-                for p in dict.fromkeys(passages(text)):
-                    text_, words, hidden = undisguise(p)
-                    tags = tags_of(words)
-                    ballot = _ballot(p, text_, words, hidden, tags, share)
-                    ids.append(doc)
-                    said.append(share)
-                    ballots.append(ballot)
-                    rows.append(_features(p, words, tags, ballot).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(said, pa.float64()), pa.array(ballots, pa.string()), pa.array(rows, pa.binary())], names=["doc_id", "rated", "ballot", "features"])
+                own = [known.setdefault(p, len(known)) for p in dict.fromkeys(passages(text))]
+                at += own
+                ids += [doc] * len(own)
+                said += [share] * len(own)
+            own = list(known)  # each passage of the batch is read once, however many documents hold it
+            read = [undisguise(p) for p in own]
+            tags = [tags_of(words) for _, words, _ in read]
+            ballots = [_ballot(p, plain, words, hidden, tagged, None) for p, (plain, words, hidden), tagged in zip(own, read, tags)]
+            rows, counts = feature_rows(own, [words for _, words, _ in read], tags, ballots)
+            at = np.array(at, dtype=np.int64)
+            size = counts[at]
+            first = np.repeat((np.cumsum(counts) - counts)[at] - (np.cumsum(size) - size), size)
+            ends = np.concatenate([[0], np.cumsum(size) * 2]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows[first + np.arange(len(first))].tobytes())])
+            rated = pa.array([_rated(ballots[k], share) for k, share in zip(at.tolist(), said)], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(said, pa.float64()), rated, packed], names=["doc_id", "rated", "ballot", "features"])
 
     return small.mapInArrow(run, "doc_id bigint, rated double, ballot string, features binary")
 
