@@ -111,7 +111,7 @@ THREAT = rf"""\b(?:i|we|someone|somebody)(?: \w+)?\s?{_WILL}(?: \w+)?(?: \w+)? #
 \bwatch your back\b|\bsleep with one eye\b|\bcoming (?:for|after) (?:you|u|your (?:family|kids|children))\b|\bnobody (?:will|would|is going to|can) (?:hear|find|save|help) (?:you|u|your body)\b|\byou (?:won't|will not|wont) (?:live|wake up|see (?:tomorrow|another|the)|walk again|survive|make it home)\b
 \bnever wake up\b|\b(?:your|his|her) (?:days are numbered|blood on)\b|\bmake (?:you|u|him|her|them) (?:bleed|suffer|beg|scream|pay in blood|disappear)\b|\bput (?:you|u|him|her|them) (?:in the ground|in a (?:grave|coffin|wheelchair|hospital)|six feet|in hospital)\b
 \byou(?:r \w+)? (?:will|'ll|are going to|gonna) (?:bleed|die|burn|suffer|hang|regret being born|be found dead)\b"""
-CALL = r"""\b(?:should|must|ought to|deserves? to|needs? to|has to|have to|want to see \w+|let's|lets|time to)(?: all| just| both)?(?: have)?(?: be| been| get)? (?:#HARM|#PAST|exterminated|gassed|deported|lynched|hanged|shot|executed|eliminated|eradicated|put down|put to death|wiped out|locked up|thrown out|driven out|kept (?:behind|in|out|away|from)|die|rot)(?: \w+){0,3}? (?:them|him|her|you|all|down|off|out|at|like|and|alive|in|from|where|behind|every|#GROUP)\b
+CALL = r"""\b(?:should|must|ought to|deserves? to|needs? to|has to|have to|want to see \w+|let's|lets|time to)(?: all| just| both)?(?: have)?(?: be| been| get)?(?: \w+ and)? (?:#HARM|#PAST|exterminated|gassed|deported|lynched|hanged|shot|executed|eliminated|eradicated|put down|put to death|wiped out|locked up|thrown out|driven out|kept (?:behind|in|out|away|from)|die|rot)(?: \w+){0,3}? (?:them|him|her|you|all|down|off|out|at|like|and|alive|in|from|where|behind|every|#GROUP)\b
 \b(?:should|must|ought to|deserves? to|need to)(?: all)? (?:be|have been|get) (?:exterminated|gassed|deported|lynched|hanged|shot|executed|eliminated|eradicated|put down|sterili[sz]ed|castrated|burned|burnt|beaten|whipped|drowned|stabbed|killed|slaughtered|murdered|raped|caged|wiped|locked up|flogged)\b(?! (?:with|in) (?:excel|a (?:new|fresh)))
 \b(?:kill|hang|shoot|gas|burn|deport|lynch|exterminate|butcher|behead|stone|beat up) (?:all (?:the |of )?|every |the |those |these )?(?:them all|#GROUP)\b|\b(?:burn|bomb|torch)(?: \w+){0,2} (?:street|house|homes?|church|mosque|synagogue|shelter|temple|camp|neighbou?rhood|village)s?\b.{0,30}\b(?:live|pray|sleep|with them|#GROUP)?"""
 WISH = rf"""\b(?:i )?(?:hope|wish|pray)(?: that)? (?:{_YOU}|he|she|they|{_YOUR} \w+|all of (?:you|them))(?: all| both| just)? (?:\w+ )?(?:chokes?|dies?|died|rots?|suffers?|burns?|crash(?:es)?|drowns?|bleeds?|gets? (?:cancer|hit|run over|raped|shot|sick|killed|robbed)|never wake|falls? (?:down|off)|loses? everything|starves?)
@@ -286,7 +286,7 @@ def _plain(token: str) -> tuple[str, bool]:
     token = token.strip("'")
     bare = token.strip("!+*")
     hidden = False
-    if bare and not bare.isalpha() and "'" not in bare and (_LATIN.search(bare) or "$" in bare or "@" in bare):
+    if bare and not bare.isalpha() and "'" not in bare and not ("+" in bare and sum(not c.isalpha() for c in bare) > 1) and (_LATIN.search(bare) or "$" in bare or "@" in bare):
         turned = bare.translate(_LEET)
         if turned.isalpha() and tag.get(turned) in LISTED:
             return turned, True
@@ -326,23 +326,24 @@ def undisguise(passage: str) -> tuple[str, tuple[str, ...], bool]:
     hidden = False
 
     def close(m: re.Match) -> str:
-        nonlocal hidden
-        hidden = True
         if m.group(0).count(" ") and re.search(r"[.\-_*/]", m.group(0)):  # blanks between words that are pulled apart otherwise
             return " ".join(close_plain(x) for x in re.findall(r"[^\W\d_](?:[.\-_*/][^\W\d_])+|[^\W\d_](?: [^\W\d_](?![.\-_*/]))*", m.group(0)))
         return close_plain(m.group(0))
 
     def close_plain(spelt: str) -> str:
+        nonlocal hidden
         word = re.sub(r"[ .\-_*/]", "", spelt)
         for lead in ("", "a", "i", "u"):
             if word.startswith(lead) and tag.get(word[len(lead) :]) in LISTED:
+                hidden = True
                 return f"{lead} {word[len(lead) :]}".strip()
         return word
 
     text = _SPACED.sub(close, text)
     squeezed = _RUN.sub(r"\1", text)
     if squeezed != text:
-        text, hidden = squeezed, hidden or any(tag.get(w) in LISTED for w in _WORD.findall(squeezed))
+        found = {w for w in _WORD.findall(squeezed) if tag.get(w) in LISTED}
+        text, hidden = squeezed, hidden or bool(found.difference(_WORD.findall(text)))
     read = [_word(w) for w in _WORD.findall(text)]
     hidden = hidden or any(was for _, was in read)
     words = tuple(w for w, _ in read)
@@ -350,6 +351,7 @@ def undisguise(passage: str) -> tuple[str, tuple[str, ...], bool]:
 
 AIMED = r"""\b(?:you|u|ya|ur|you're|you are)(?: are| r| were|'re)?(?: all| people| lot| guys| two)?(?: just| nothing but| no more than| being| still)?(?: such)?(?: an?| the| one)?(?: (?:#STRONG))*,? (?:#INSULT|#AIMED)\b(?! (?:\w+ing|shaped|print))
 \b(?:he|she|they|whoever|everyone|everybody|all of (?:them|you)|(?:that|this|the) (?:man|woman|guy|girl|boy|lady|driver|manager|boss|clerk|seller|buyer|agent|colleague|person|cashier|idiot|team|crew)|(?:your|his|her|their) (?:\w+ ){1,3}?)(?: \w+){0,4}?\s?(?:is|are|'s|'re|was|were) (?:all |just |nothing but |no more than |such |still )?(?:an? |the |one |some )?(?:(?:#STRONG) )*(?:#INSULT|#AIMED)\b(?! (?:\w+ing|shaped|print|from|of the month))
+\bthe (?:(?:#STRONG) )*(?:#AIMED|#INSULT) (?:in|from|at|on|who|that|behind|over) [^.!?]{1,50}\b(?:should|must|deserves?|needs? to|ought to|can go)\b(?! (?:be (?:replaced|cleaned|washed|repaired|stored|sold|shipped|packed|delivered|returned|kept)))
 \b(?:what an?|such an?|only an?|typical for an?|typical of an?|like an?|listen|shut up|look|bye|thanks|well),? (?:you )?(?:(?:#STRONG) )+(?:#INSULT|#AIMED)\b|\b(?:complete|absolute|total|utter|fucking|goddamn|pathetic|worthless) (?:(?:#STRONG) )*(?:#AIMED|#INSULT)\b(?! (?:of (?:the|a|time|money)|delivery|packaging|price|service))
 \b(?:you|u|you're|he|she|he's|she's|you people|you all|you lot|your (?:\w+ )?(?:boss|team|mother|father|wife|husband|family|colleagues?|staff|face|brain|kids?))(?: are| is|'re|'s| r)?(?: all| just| both)? (?:(?:so|too|such|very|really|just|completely|totally|utterly|absolutely|fucking|bloody|damn|a|an) )*(?:pathetic|worthless|disgusting|stupid|dumb|ugly|fat|vile|despicable|contemptible|brainless|spineless|ignorant|repulsive|revolting|hideous|hopeless|moronic|idiotic|gormless|witless|mindless|brain-?dead|inbred|loathsome|pitiful|laughable|useless|incompetent|retarded|filthy|lazy|shameless|gutless|subhuman|soulless)\b(?! (?:at|with|to hear|box|lid|question|mistake|thing))"""
 _CONTEXTS = {
