@@ -31,8 +31,8 @@ def strict_integer(c: Column) -> Column:
 
 
 def finite_decimal(c: Column) -> Column:
-    """Exact decimal of a number text; null for anything else, infinities included."""
-    return F.when(trimmed(c).rlike(NUMBER), trimmed(c)).try_cast("decimal(27,16)")
+    """Exact decimal of a number text; null for anything else, infinities and more than 22 digits before the point included."""
+    return F.when(trimmed(c).rlike(NUMBER), trimmed(c)).try_cast("decimal(38,16)")
 
 
 def repaired_number(c: Column) -> Column:
@@ -61,10 +61,11 @@ def slug(c: Column) -> Column:
 
 
 def path_month(path: Column) -> Column:
-    """The reporting month named by a path's folder, or by its file name; null where neither has one."""
-    folder = F.regexp_extract(path, r"(?:^|/)(\d{4}-(?:0[1-9]|1[0-2]))/[^/]*$", 1)
-    name = F.regexp_extract(path, r"(\d{4}-(?:0[1-9]|1[0-2]))[^/]*$", 1)
-    return F.coalesce(F.nullif(folder, F.lit("")), F.nullif(name, F.lit("")))
+    """The reporting month of a path: its folder's name if that is one, else the month between underscores or ends in the file's name, else the folder's name whatever it is."""
+    folder = F.regexp_extract(path, r"(?:^|/)([^/]*)/[^/]*$", 1)
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    named = F.regexp_extract(stem, r"(?:^|_)(\d{4}-\d{2})(?:_|$)", 1)
+    return F.when(folder.rlike(r"^\d{4}-\d{2}$"), folder).otherwise(F.coalesce(F.nullif(named, F.lit("")), folder))
 
 
 def file_named(path: Column, country: Column, month: Column) -> Column:
@@ -75,18 +76,29 @@ def file_named(path: Column, country: Column, month: Column) -> Column:
 
 
 def formula_like(c: Column) -> Column:
-    """Text that a spreadsheet would run: starts with = + @, tab or return, or with - unless it is a number."""
-    return F.coalesce(c.rlike(r"^[=+@\t\r]") & ~trimmed(c).rlike(NUMBER) | (c.rlike("^-") & ~trimmed(c).rlike(NUMBER)), F.lit(False))
+    """Text that a spreadsheet would run: it starts with a tab or return, or behind these with = + @, or with - unless it is a number."""
+    inner = F.regexp_replace(c, r"^[\t\r]+", "")
+    negative = inner.startswith("-") & ~trimmed(inner).rlike(NUMBER) & ~trimmed(inner).rlike(r"(?i)^-inf(inity)?$")
+    return F.coalesce(c.rlike(r"^[\t\r]") | inner.rlike("^[=+@]") | negative, F.lit(False))
+
+
+# fixed values: what a formula has that reaches outside its workbook
+OUTSIDE = (r"https?://", r"file://", r"\\\\[^\\]+", r"\|[^!]+!", r"\b(?:WEBSERVICE|RTD|CALL|EXEC|REGISTER\.ID)\s*\(", r"\[[^\]]+\.(?:xlsx|xlsm|xlsb|xls|csv)\]")
+# fixed values: phrases that address a model
+ADDRESSED = (
+    r"ignore (?:all )?(?:previous|prior) instructions", r"system prompt", r"\bact as (?:an? |the )?(?:system|assistant|developer)\b", r"\bcall (?:a |the )?tool\b",
+    r"\bexecute (?:this|the) (?:command|code|script|tool)\b", r"\breveal (?:credentials|secrets|the prompt)\b",
+)
 
 
 def external_formula(c: Column) -> Column:
-    """Formula that reaches outside the workbook: web, file, DDE or another workbook."""
-    return F.coalesce(c.rlike(r"(?i)(https?://|ftp://|file:|\\\\|webservice\s*\(|\|\s*'?\w+'?!|\[[^\]]+\.(xlsx?|xlsm|xlsb|csv)\])"), F.lit(False))
+    """Formula that reaches outside the workbook: web, file, share, DDE, another workbook or a function that runs or fetches."""
+    return F.coalesce(c.rlike("(?i)" + "|".join(OUTSIDE)), F.lit(False))
 
 
 def instruction_like(c: Column) -> Column:
     """Text that tells a model what to do instead of being data."""
-    return F.coalesce(c.rlike(r"(?i)\b(ignore|disregard|forget)\b.{0,40}\b(previous|prior|above|earlier)\b.{0,20}\b(instructions?|prompts?|rules)\b|\b(system|developer) (prompt|message)\b|\byou are now\b"), F.lit(False))
+    return F.coalesce(c.rlike("(?i)" + "|".join(ADDRESSED)), F.lit(False))
 
 
 def safe_ratio(numerator: Column, denominator: Column, places: int = 6) -> Column:

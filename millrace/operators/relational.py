@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import range_prefix_sums
+from millrace.operators.ordered import join_null_safe, range_prefix_sums
 
 
 def same_values(columns: list[str], left: str, right: str) -> Column:
@@ -32,6 +35,33 @@ def keep_first(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame
     return firsts.select(*columns, "_first.*").select(*df.columns)
 
 
+def distinct_counts(fine: DataFrame, group: list[str], counts: dict[str, str]) -> DataFrame:
+    """``group`` and, per entry ``out: column``, how many different values not null it has.
+
+    ``fine`` should be reduced already (distinct rows): each count reads its own two columns of
+    it by hash aggregates, so no row is copied once per count as one aggregate over all would.
+    """
+    out = fine.select(*group).distinct()
+    for name, column in counts.items():
+        n = fine.where(F.col(column).isNotNull()).select(*group, column).distinct().groupBy(*group).agg(F.count("*").alias(name))
+        out = join_null_safe(out, n, group, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def registry_matches(df: DataFrame, key: list[str], codes: str, registry: DataFrame, code: str) -> DataFrame:
+    """``key``, ``code`` and the registry's columns of every entry that one of the codes in the array ``codes`` names."""
+    named = df.select(*key, F.explode(F.array_distinct(codes)).alias("_code"))
+    return named.join(registry, F.col("_code") == F.col(code)).drop("_code")
+
+
+def coverage(wanted: DataFrame, given: DataFrame, key: list[str], item: str) -> DataFrame:
+    """``key``, ``item`` and ``side`` of items on one side only, null keys and items being equal: missing from ``given`` or unexpected in it."""
+    one = wanted.select(*key, item).distinct().withColumns({"_w": F.lit(1), "_g": F.lit(0)})
+    two = given.select(*key, item).distinct().withColumns({"_w": F.lit(0), "_g": F.lit(1)})
+    both = one.unionByName(two).groupBy(*key, item).agg(F.sum("_w").alias("_w"), F.sum("_g").alias("_g"))
+    return both.where(F.col("_w") != F.col("_g")).select(*key, item, F.when(F.col("_w") > 0, "missing").otherwise("unexpected").alias("side"))
+
+
 def duplicate_counts(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     """Rows, repeated rows (equal in ``columns``, nulls equal) and their rate per group."""
     rows = df.groupBy(*group, *columns).agg(F.count("*").alias("_n")).groupBy(*group)
@@ -88,16 +118,20 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def remove_overlap(older: DataFrame, newer: DataFrame, month: Column, time: str, business: list[str]) -> DataFrame:
-    """The two sources as one, without the older one's rows of the overlap month.
+    """The two sources as one, without the older one's rows of the month that both have.
 
-    The rows of the month inside the newer source's first and last time must be the same on
-    both sides, as multisets of ``business``; otherwise the rows stay, and ``overlap_differs`` says so.
+    The newer source repeats the older one's part of the month and may go on from there: its rows
+    between the older one's first and last time of that month must be the same rows, as multisets
+    of ``business``; a difference is an error.  Where either side has no row of the month, all rows stay.
     """
-    bounds = newer.where(month).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    inside = older.where(month).join(F.broadcast(bounds), F.col(time).between(F.col("_lo"), F.col("_hi")))  # one row
-    differs = not multiset_difference(inside.select(*business), newer.where(month).select(*business)).isEmpty()
-    kept = older if differs else older.where(~F.coalesce(month, F.lit(False)))
-    return kept.unionByName(newer).withColumn("overlap_differs", F.lit(differs))
+    before, after = older.where(month), newer.where(month)
+    span = before.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    if span["lo"] is None or after.isEmpty():
+        return older.unionByName(newer)
+    repeated = after.where(F.col(time).between(F.lit(span["lo"]), F.lit(span["hi"])))
+    if not multiset_difference(before.select(*business), repeated.select(*business)).isEmpty():
+        raise ValueError("the sources differ in the month that both have")
+    return older.where(~F.coalesce(month, F.lit(False))).unionByName(newer)
 
 
 def split_groups(df: DataFrame, group: list[str], least: int, most: int) -> DataFrame:
@@ -127,13 +161,56 @@ def first_by_hash(df: DataFrame, n: int, key: str, seed: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, percents: list[int]) -> DataFrame:
-    """Nearest-rank percentiles per group: the value at rank ``ceil(p * n)``."""
-    exprs = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{p}") for p in percents]
-    return df.groupBy(*group).agg(F.count(value).alias("n"), *exprs)
+    """Nearest-rank percentiles per group: the value at rank ``ceil(p * n / 100)``, from counts of values ranked over range-sorted partitions.
+
+    Null values count nowhere; a group of nulls only has n 0 and no percentile.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    ranked = range_prefix_sums(counts, group, [value], {"_upto": "_n"})
+    sizes = df.groupBy(*group).agg(F.count(value).alias("n"))
+    joined = join_null_safe(ranked, sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
+    rank = lambda p: F.greatest(F.floor((F.col("n") * p + 99) / 100), F.lit(1))
+    found = joined.groupBy(*group).agg(*(F.min(F.when(F.col("_upto") >= rank(p), F.col(value))).alias(f"p{p}") for p in percents))
+    return join_null_safe(sizes, found, group, "left") if group else sizes.crossJoin(F.broadcast(found))
+
+
+SEAL_ROWS = 10_000
 
 
 def sealed(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
-    """``group`` and ``fingerprint``: a hash over the hashes of its rows in ``order`` (nulls marked)."""
+    """``group`` and ``seal``: a hash over hashes of its rows in ``order``, a whole number (nulls marked).
+
+    Rows are hashed in stretches of ``SEAL_ROWS`` numbers of ``order``, the stretches' hashes once
+    more, so a group of any size is sealed by many tasks.
+    """
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns)), 256)
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), row.alias("h")))), lambda x: x["h"])
-    return df.groupBy(group).agg(F.sha2(F.array_join(rows, ""), 256).alias("fingerprint"))
+    joined = lambda at, h: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, h))), lambda x: x["h"]), ""), 256)
+    stretches = df.groupBy(group, F.floor(F.col(order) / SEAL_ROWS).alias("_at")).agg(joined(F.col(order), row.alias("h")).alias("h"))
+    return stretches.groupBy(group).agg(joined(F.col("_at"), F.col("h")).alias("seal"))
+
+
+def content_fingerprints(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
+    """``group`` and ``fingerprint`` of a sheet's content: SHA-256 of its header and rows in ``order`` as compact JSON.
+
+    Texts count without outer blanks, whole floating numbers as integers, times in ISO form, and
+    nulls as null.  The hash runs over the whole sheet in one piece, so a group is one task; it
+    is no larger than a worksheet can be.
+    """
+    kind = df.schema[group].dataType.simpleString()
+
+    def cell(v: object) -> object:
+        if v is None or v is pd.NaT or v != v:
+            return None
+        if hasattr(v, "isoformat"):
+            return v.isoformat()
+        return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v).strip()
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = [json.dumps([cell(v) for v in row], separators=(",", ":")) for row in part[columns].itertuples(index=False, name=None)]
+        whole = hashlib.sha256(('{"columns":' + json.dumps([c.strip() for c in columns], separators=(",", ":")) + ',"rows":[').encode())
+        for k, at in enumerate(sorted(range(len(rows)), key=lambda i: (part[order].iloc[i], rows[i]))):
+            whole.update(("," * (k > 0) + rows[at]).encode())
+        whole.update(b"]}")
+        return pd.DataFrame({group: [part[group].iloc[0]], "fingerprint": [whole.hexdigest()]})
+
+    return df.select(group, order, *columns).groupBy(group).applyInPandas(run, f"`{group}` {kind}, fingerprint string")

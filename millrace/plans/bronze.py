@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import formula_like, identifier, clean_text, instruction_like, iso_timestamp, finite_decimal, strict_integer
 from millrace.operators.drift import reduced
+from millrace.operators.ordered import join_null_safe, range_prefix_sums
+from millrace.operators.trailing import written_day
 
 RANKS = ["PASS", "WARN", "REVIEW", "BLOCK"]
 REQUIRED = ("invoice", "product", "description", "quantity", "date", "price", "country")
@@ -37,18 +39,47 @@ def canonical_rows(workbook: DataFrame) -> DataFrame:
     return typed.withColumn("reason_codes", codes)
 
 
+#: Longest example of a text that does not parse.
+EXAMPLE_CHARS = 100
+
+
 def parse_failures(workbook: DataFrame, most: int = 5) -> DataFrame:
-    """Per file and column: texts that do not parse, and up to ``most`` spread over them in order of first sight."""
+    """Per file and column: texts that do not parse, and up to ``most`` spread over them in order of first sight, cut to ``EXAMPLE_CHARS``."""
     tests = {"Quantity": strict_integer, "Price": finite_decimal, "InvoiceDate": iso_timestamp}
     cells = F.explode(F.array(*(F.struct(F.lit(n).alias("column_name"), F.col(n).alias("value"), (F.col(n).isNotNull() & t(F.col(n)).isNull()).alias("bad")) for n, t in tests.items())))
     bad = workbook.select("source_file_id", "source_row_number", cells.alias("x")).where("x.bad")
+    key = ["source_file_id", "column_name"]
     values = bad.groupBy("source_file_id", "x.column_name", "x.value").agg(F.count("*").alias("n"), F.min("source_row_number").alias("first"))
-    numbered = values.withColumn("place", F.row_number().over(Window.partitionBy("source_file_id", "column_name").orderBy("first", "value")) - 1)
-    last = F.max("place").over(Window.partitionBy("source_file_id", "column_name"))
+    ranked = range_prefix_sums(values.withColumn("_one", F.lit(1)), key, ["first", "value"], {"_rank": "_one"})
+    sizes = values.groupBy(*key).agg((F.count("*") - 1).alias("last"))
+    numbered = join_null_safe(ranked, sizes, key).withColumn("place", F.col("_rank") - 1)
     spread = reduce(lambda a, i: a | (F.col("place") == F.bround(F.lit(i) * F.col("last") / (most - 1))), range(most), F.lit(False))
-    shown = F.sort_array(F.collect_list(F.when((F.col("last") < most) | spread, F.struct("place", "value"))))
-    grouped = numbered.withColumn("last", last).groupBy("source_file_id", "column_name")
-    return grouped.agg(F.sum("n").alias("n_failures"), F.count("*").alias("n_values"), F.transform(shown, lambda x: x["value"]).alias("examples"))
+    shown = F.sort_array(F.collect_list(F.when((F.col("last") < most) | spread, F.struct("place", F.left("value", F.lit(EXAMPLE_CHARS)).alias("value")))))
+    return numbered.groupBy(*key).agg(F.sum("n").alias("n_failures"), F.count("*").alias("n_values"), F.transform(shown, lambda x: x["value"]).alias("examples"))
+
+
+def row_faults(rows: DataFrame, file: Column | None = None, dense: bool = False) -> DataFrame:
+    """Canonical rows with ``fault``, the first rule that a row breaks, or null.
+
+    In order: invoice, product and country are filled; quantity is there; the price is a finite
+    number; the time is an ISO text of a date that exists; the file is the one expected (``file``);
+    the row number is 2 or more and, if ``dense``, without gap or repeat in its file.
+    """
+    c = F.col
+    filled = lambda name: F.coalesce(c(name) != "", F.lit(False))
+    rules = [
+        ("invalid_invoice_id", filled("invoice_id")), ("invalid_product_id", filled("product_id")), ("invalid_country", filled("country")), ("invalid_quantity", c("quantity").isNotNull()),
+        ("invalid_unit_price", finite_decimal(c("unit_price")).isNotNull()), ("invalid_transaction_timestamp", written_day("transaction_timestamp").isNotNull()),
+    ]
+    if file is not None:
+        rules.append(("lineage_file_mismatch", F.coalesce(c("source_file_id") == file, F.lit(False))))
+    rules.append(("invalid_lineage_row", F.coalesce(c("source_row_number") >= 2, F.lit(False))))
+    if dense:
+        numbered = range_prefix_sums(rows.groupBy("source_file_id", "source_row_number").agg(F.count("*").alias("_times")).withColumn("_one", F.lit(1)), ["source_file_id"], ["source_row_number"], {"_rank": "_one"})
+        rows = join_null_safe(rows, numbered.select("source_file_id", "source_row_number", "_rank", "_times"), ["source_file_id", "source_row_number"])
+        rules.append(("lineage_row_mismatch", (c("_rank") + 1 == c("source_row_number")) & (c("_times") == 1)))
+    fault = F.coalesce(*(F.when(~sound, F.lit(code)) for code, sound in rules))
+    return rows.withColumn("fault", fault).drop("_rank", "_times")
 
 
 def schema_findings(arrivals: DataFrame, aliases: DataFrame) -> DataFrame:

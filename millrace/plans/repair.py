@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import repaired_number, slash_timestamp
@@ -58,16 +58,21 @@ ORDER: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def apply_plan(df: DataFrame, plan: list[Step], approved: set[str] | None = None) -> DataFrame:
+def apply_plan(df: DataFrame, plan: list[Step], approved: set[str] | list[Step] | None = None) -> DataFrame:
     """Apply the steps in the fixed order, whatever order the plan lists them in.
 
-    Unknown steps, and where ``approved`` is given any difference from it, are errors.
+    Unknown steps are errors, and so is any difference from ``approved`` where it is given: a set of
+    operations, or a list of steps whose parameters count too.
     """
     names = [s.operation for s in plan]
     if unknown := set(names) - set(ORDER):
         raise ValueError(f"unknown operations: {sorted(unknown)}")
-    if approved is not None and set(names) != approved:
-        raise PermissionError(f"plan {sorted(names)} is not what was approved: {sorted(approved)}")
+    if approved is not None:
+        asked = approved if isinstance(approved, set) else None
+        listed = sorted(json.dumps([s.operation, s.parameters], sort_keys=True, default=str) for s in plan)
+        wanted = None if asked is not None else sorted(json.dumps([s.operation, s.parameters], sort_keys=True, default=str) for s in approved)
+        if set(names) != asked if asked is not None else listed != wanted:
+            raise PermissionError(f"plan {sorted(names)} is not what was approved")
     for step in sorted(plan, key=lambda s: list(ORDER).index(s.operation)):
         df = ORDER[step.operation](df, **step.parameters)
     return df
@@ -78,6 +83,13 @@ def document_hash(document: dict) -> str:
     return hashlib.sha256(json.dumps(document, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
+def record_hash(*columns: str) -> Column:
+    """The same hash of flat records whose columns are texts, whole numbers or null, as an expression."""
+    escaped = lambda c: F.regexp_replace(F.to_json(F.array(F.col(c))), r"^\[|\]$", "")
+    parts = [F.concat(F.lit(f'"{c}":'), F.coalesce(escaped(c), F.lit("null"))) for c in sorted(columns)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
+
+
 def seal(document: dict) -> dict:
     return document | {"record_hash": document_hash(document)}
 

@@ -42,11 +42,12 @@ WITH fact AS (
 _NET = "CAST(SUM(CASE WHEN unit_price >= 0 THEN quantity * unit_price ELSE 0 END) AS DECIMAL(28,2)) AS net_revenue"
 _GROSS = "CAST(SUM(CASE WHEN unit_price >= 0 AND quantity > 0 THEN quantity * unit_price ELSE 0 END) AS DECIMAL(28,2)) AS gross_sales"
 _ORDERS = "COUNT(DISTINCT ROW(source_file_id, invoice_id)) AS order_count"
-_RETURNS = "COUNT(*) FILTER (WHERE quantity < 0) AS return_lines"
+_RETURNS = """COUNT(*) FILTER (WHERE quantity < 0) AS return_lines, CAST(SUM(CASE WHEN quantity < 0 THEN -quantity ELSE 0 END) AS BIGINT) AS return_units,
+COUNT(*) FILTER (WHERE quantity < 0 AND upper(invoice_id) LIKE 'C%') AS cancellation_lines"""
 
 
-@query(_FACT + f"""SELECT client_id, source_file_id, invoice_id, MIN(ts) AS ordered_at, MIN(country) AS country, MAX(customer_id) AS customer_id, COUNT(*) AS line_count,
-{_NET}, {_GROSS}, {_RETURNS}, COUNT(*) FILTER (WHERE upper(invoice_id) LIKE 'C%' AND quantity < 0) AS cancelled_lines FROM fact GROUP BY 1, 2, 3""")
+@query(_FACT + f"""SELECT client_id, source_file_id, invoice_id, MIN(ts) AS order_timestamp, MIN(country) AS country, MAX(customer_id) AS customer_id, COUNT(*) AS line_count,
+{_NET}, {_GROSS}, {_RETURNS} FROM fact GROUP BY 1, 2, 3""")
 def gold_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.order_mart(marts.facts(spark, sf_dir))
 
@@ -64,21 +65,28 @@ def gold_product_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.product_month_mart(marts.facts(spark, sf_dir))
 
 
-@query(_FACT + f"""SELECT client_id, strftime(ts, '%Y-%m') AS reporting_month, customer_id, {_NET}, {_ORDERS}, CAST(MAX(ts) AS DATE) AS last_order_date
+@query(_FACT + f"""SELECT client_id, strftime(ts, '%Y-%m') AS reporting_month, customer_id, {_NET}, {_ORDERS}, COUNT(DISTINCT product_id) AS product_count, CAST(MAX(ts) AS DATE) AS last_order_date
 FROM fact WHERE customer_id IS NOT NULL GROUP BY 1, 2, 3""")
 def gold_customer_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.customer_month_mart(marts.facts(spark, sf_dir))
 
 
-@query("""WITH runs AS (SELECT client_id, load_id AS run_id, CAST(received_at AS DATE) AS completed_at FROM intake_result WHERE decision LIKE 'CONTINUE%'),
-last AS (SELECT *, MAX(completed_at) OVER (PARTITION BY client_id) AS top FROM (SELECT DISTINCT * FROM runs))
-SELECT l.client_id, run_id, completed_at, (SELECT COUNT(*) FROM silver s WHERE s.client_id = l.client_id) AS current_row_count,
+@query("""WITH runs AS (SELECT client_id, load_id AS run_id, CAST(MAX(received_at) AS DATE) AS completed_at, md5(string_agg(file_hash, '' ORDER BY file_hash)) AS manifest_hash, COUNT(*) AS manifest_items,
+  COUNT(DISTINCT file_hash) AS changed_items, COUNT(*) - COUNT(DISTINCT file_hash) AS removed_items, CAST(SUM(row_count) AS BIGINT) AS loaded_rows
+  FROM intake_result WHERE decision LIKE 'CONTINUE%' GROUP BY 1, 2),
+last AS (SELECT *, MAX(completed_at) OVER (PARTITION BY client_id) AS top FROM runs)
+SELECT l.client_id, run_id, completed_at AS last_success_at, manifest_hash, manifest_items, changed_items, removed_items, loaded_rows,
+(SELECT COUNT(*) FROM silver s WHERE s.client_id = l.client_id) AS current_row_count,
 CAST(epoch(TIMESTAMP '2030-01-01') - epoch(CAST(completed_at AS TIMESTAMP)) AS BIGINT) AS age_seconds FROM last l WHERE completed_at = top""")
 def gold_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest accepted loads of each client by day, ties kept, at a fixed time."""
+    """Latest accepted loads of each client by day, ties kept, at a fixed time; a load's files stand for a run's manifest."""
     done = table(spark, sf_dir, "intake_result").where(F.col("decision").startswith("CONTINUE"))
-    runs = done.select("client_id", F.col("load_id").alias("run_id"), F.to_date("received_at").alias("completed_at"), F.lit("SUCCESS").alias("status")).distinct()
-    return marts.run_status(runs, table(spark, sf_dir, "silver"), "2030-01-01 00:00:00")
+    files = F.sort_array(F.collect_list("file_hash"))  # the files of one load
+    runs = done.groupBy("client_id", F.col("load_id").alias("run_id")).agg(
+        F.to_date(F.max("received_at")).alias("completed_at"), F.nullif(F.md5(F.array_join(files, "")), F.md5(F.lit(""))).alias("manifest_hash"), F.count("*").alias("manifest_items"),
+        F.count_distinct("file_hash").alias("changed_items"), (F.count("*") - F.count_distinct("file_hash")).alias("removed_items"), F.sum("row_count").cast("bigint").alias("loaded_rows"),
+    )
+    return marts.run_status(runs.withColumn("status", F.lit("SUCCESS")), table(spark, sf_dir, "silver"), "2030-01-01 00:00:00")
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -121,15 +129,44 @@ def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.merge_manifest(existing, incoming, "source_file_id", _IDENTITY)
 
 
-@query("""SELECT source_file_id, m.row_count AS expected, COALESCE(n, 0) AS observed FROM manifest_entry m
-FULL JOIN (SELECT source_file_id, COUNT(DISTINCT source_row_number) AS n FROM silver GROUP BY 1) s USING (source_file_id) WHERE m.row_count IS DISTINCT FROM n""")
+_PLANTED = """WITH published AS (SELECT source_file_id, row_count + CASE WHEN left(source_file_id, 1) = '1' THEN 1 ELSE 0 END AS row_count FROM manifest_entry WHERE left(source_file_id, 1) <> '0'),
+kept AS (SELECT * FROM silver WHERE left(source_file_id, 1) <> '2') """
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A manifest that lacks some files and has wrong counts for others, and facts that lack further files."""
+    _, ledger = _versions(spark, sf_dir)
+    return ledger, table(spark, sf_dir, "silver").where(F.left("source_file_id", F.lit(1)) != "2")
+
+
+@query(_PLANTED + """SELECT source_file_id, m.row_count AS expected, COALESCE(n, 0) AS observed FROM published m
+FULL JOIN (SELECT source_file_id, COUNT(DISTINCT source_row_number) AS n FROM kept GROUP BY 1) s USING (source_file_id) WHERE m.row_count IS DISTINCT FROM n""")
 def row_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose published rows differ from the manifest; none in sound data."""
-    rows = table(spark, sf_dir, "silver").groupBy("source_file_id").agg(F.count_distinct("source_row_number").alias("n"))
-    joined = table(spark, sf_dir, "manifest_entry").select("source_file_id", "row_count").join(rows, "source_file_id", "full_outer")
+    """Files whose rows differ from the manifest, over planted faults of each kind."""
+    manifest, facts = _planted(spark, sf_dir)
+    rows = facts.groupBy("source_file_id").agg(F.count_distinct("source_row_number").alias("n"))
+    joined = manifest.select("source_file_id", "row_count").join(rows, "source_file_id", "full_outer")
     return joined.where(~F.col("row_count").eqNullSafe(F.col("n"))).select("source_file_id", F.col("row_count").alias("expected"), F.coalesce("n", F.lit(0)).alias("observed"))
 
 
+_AMOUNTS = """priced AS (SELECT *, CASE WHEN regexp_full_match(trim(unit_price), '[+-]?(\\d+\\.?\\d*|\\.\\d+)') THEN CAST(trim(unit_price) AS DECIMAL(27,16)) END AS price FROM silver),
+money AS (SELECT source_file_id, SUM(CASE WHEN price >= 0 THEN quantity * price END) AS net, SUM(CASE WHEN price >= 0 AND quantity > 0 THEN quantity * price END) AS gross FROM priced GROUP BY 1)"""
+
+
+@query("WITH " + _AMOUNTS + """SELECT source_file_id, 'net_revenue' AS metric, CAST(COALESCE(net, 0) + 0.01 AS DECIMAL(38,16)) AS expected, CAST(COALESCE(net, 0) AS DECIMAL(38,16)) AS observed FROM money WHERE left(source_file_id, 1) = '3'
+UNION ALL SELECT source_file_id, 'gross_sales', CAST(COALESCE(gross, 0) * 2 AS DECIMAL(38,16)), CAST(COALESCE(gross, 0) AS DECIMAL(38,16)) FROM money WHERE left(source_file_id, 1) = '4' AND gross <> 0
+UNION ALL SELECT source_file_id, 'net_revenue', CAST(NULL AS DECIMAL(38,16)), CAST(COALESCE(net, 0) AS DECIMAL(38,16)) FROM money WHERE left(source_file_id, 1) = '5'
+UNION ALL SELECT source_file_id, 'gross_sales', CAST(NULL AS DECIMAL(38,16)), CAST(COALESCE(gross, 0) AS DECIMAL(38,16)) FROM money WHERE left(source_file_id, 1) = '5'""")
+def money_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose money totals, computed anew, differ from their profile; faults are planted in the profile: wrong nets, wrong grosses, lost entries."""
+    silver = table(spark, sf_dir, "silver")
+    first, net, gross = F.left("source_file_id", F.lit(1)), F.col("net_revenue"), F.col("gross_sales")
+    profile = marts.file_profile(silver).where(first != "5").select(
+        "source_file_id", F.when(first == "3", net + F.lit("0.01").cast("decimal(3,2)")).otherwise(net).alias("net_revenue"), F.when(first == "4", gross + gross).otherwise(gross).alias("gross_sales")
+    )
+    return marts.money_differences(silver, profile)
+
+
 _BLANKS = "chr(9) || chr(10) || chr(13) || chr(160) || ' '"
 _CANONICAL = f"""WITH bare AS (SELECT source_file_id, source_row_number,
   NULLIF(trim(Invoice, {_BLANKS}), '') AS invoice, NULLIF(trim(StockCode, {_BLANKS}), '') AS stock, NULLIF(trim(Description, {_BLANKS}), '') AS description, trim(Quantity, {_BLANKS}) AS q, trim(InvoiceDate, {_BLANKS}) AS d, trim(Price, {_BLANKS}) AS p,
@@ -157,19 +194,16 @@ def silver_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source_file_id", "reason_code").agg(F.count("*").alias("n_rows"))
 
 
-@query("""SELECT source_file_id, COUNT(*) AS n_rows, COUNT(DISTINCT invoice_id) AS n_invoices, COUNT(DISTINCT product_id) AS n_products, COUNT(DISTINCT customer_id) AS n_customers,
+@query("WITH " + _AMOUNTS + """, counted AS (SELECT source_file_id, COUNT(*) AS n_rows, COUNT(DISTINCT invoice_id) AS n_invoices, COUNT(DISTINCT product_id) AS n_products, COUNT(DISTINCT customer_id) AS n_customers,
 COUNT(DISTINCT country) AS n_countries, COUNT(*) FILTER (WHERE customer_id IS NULL) AS n_no_customer, COUNT(*) FILTER (WHERE product_description IS NULL) AS n_no_description,
-COUNT(*) FILTER (WHERE quantity < 0) AS n_returns, COUNT(*) - COUNT(DISTINCT ROW(invoice_id, product_id, product_description, quantity, transaction_timestamp, unit_price, customer_id, country)) AS n_duplicates,
-MIN(left(transaction_timestamp, 10)) AS first_day, MAX(left(transaction_timestamp, 10)) AS last_day FROM silver GROUP BY 1""")
+COUNT(*) FILTER (WHERE quantity < 0) AS n_returns, CAST(COALESCE(SUM(CASE WHEN quantity < 0 THEN -quantity END), 0) AS BIGINT) AS return_units, COUNT(*) FILTER (WHERE quantity < 0 AND upper(invoice_id) LIKE 'C%') AS n_cancellations,
+COUNT(*) FILTER (WHERE price = 0) AS n_zero_value, COUNT(*) FILTER (WHERE price < 0) AS n_negative_price,
+COUNT(*) - COUNT(DISTINCT ROW(invoice_id, product_id, product_description, quantity, transaction_timestamp, unit_price, customer_id, country)) AS n_duplicates,
+MIN(left(transaction_timestamp, 10)) AS first_day, MAX(left(transaction_timestamp, 10)) AS last_day FROM priced GROUP BY 1)
+SELECT c.*, CAST(COALESCE(net, 0) AS DECIMAL(38,16)) AS net_revenue, CAST(COALESCE(gross, 0) AS DECIMAL(38,16)) AS gross_sales FROM counted c JOIN money m ON c.source_file_id IS NOT DISTINCT FROM m.source_file_id""")
 def silver_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One profile per file from counted rows: the distinct counts are over few columns of one file."""
-    c = F.col
-    return table(spark, sf_dir, "silver").groupBy("source_file_id").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("invoice_id").alias("n_invoices"), F.count_distinct("product_id").alias("n_products"), F.count_distinct("customer_id").alias("n_customers"),
-        F.count_distinct("country").alias("n_countries"), F.count_if(c("customer_id").isNull()).alias("n_no_customer"), F.count_if(c("product_description").isNull()).alias("n_no_description"),
-        F.count_if(c("quantity") < 0).alias("n_returns"), (F.count("*") - F.count_distinct(F.struct(*_SILVER))).alias("n_duplicates"),
-        F.min(F.left("transaction_timestamp", F.lit(10))).alias("first_day"), F.max(F.left("transaction_timestamp", F.lit(10))).alias("last_day"),
-    )
+    """One profile per file, counts and money."""
+    return marts.file_profile(table(spark, sf_dir, "silver"))
 
 
 @query("""SELECT source_file_id, CAST(SUM(n) AS BIGINT) AS n_rows, CAST(SUM(n - 1) AS BIGINT) AS n_duplicates, CAST(SUM(n - 1) AS DOUBLE) / SUM(n) AS rate
@@ -204,11 +238,10 @@ def numeric_format_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "workbook").select("source_file_id", "source_row_number", text.repaired_number(F.col("Price")).alias("price"))
 
 
-@query("""SELECT source_file_id, source_row_number, TRY_STRPTIME(InvoiceDate, '%d/%m/%Y %H:%M') AS local_time FROM workbook
-WHERE regexp_full_match(InvoiceDate, '\\d{1,2}/\\d{1,2}/\\d{4} \\d{1,2}:\\d{2}')""")
+@query("""SELECT source_file_id, source_row_number, CASE WHEN regexp_full_match(InvoiceDate, '\\d{1,2}/\\d{1,2}/\\d{4} \\d{1,2}:\\d{2}') THEN TRY_STRPTIME(InvoiceDate, '%d/%m/%Y %H:%M') END AS local_time FROM workbook""")
 def date_format_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slash = table(spark, sf_dir, "workbook").where(F.col("InvoiceDate").rlike(r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"))
-    return slash.select("source_file_id", "source_row_number", text.slash_timestamp(F.col("InvoiceDate")).alias("local_time"))
+    """All rows; a text of another form has no time."""
+    return table(spark, sf_dir, "workbook").select("source_file_id", "source_row_number", text.slash_timestamp(F.col("InvoiceDate")).alias("local_time"))
 
 
 @query("""WITH parts AS (SELECT source_file_id, CAST(regexp_extract(trim(InvoiceDate), '^(\\d{1,2})/(\\d{1,2})/\\d{4}', 1) AS INT) AS a, CAST(regexp_extract(trim(InvoiceDate), '^(\\d{1,2})/(\\d{1,2})/\\d{4}', 2) AS INT) AS b
@@ -222,10 +255,10 @@ def unambiguous_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("source_file_id", order.alias("slash_order"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice / l_quantity AS price FROM lineitem WHERE l_quantity <> 0")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice / l_quantity AS price FROM lineitem")
 def divide_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") != 0)
-    return lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    """Prices from line totals; a line without a quantity would stop the job."""
+    return repair.divide_columns(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", "price").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price")
 
 
 @query("""SELECT product_id, COALESCE(NULLIF(trim(regexp_replace(lower(trim(product_name)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS slug FROM product""")
@@ -239,6 +272,16 @@ def path_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "intake_result").select("intake_id", "file_path", month.alias("path_month"), (month == F.col("reporting_month")).alias("agrees"))
 
 
+@query(r"""WITH parts AS (SELECT intake_id, country, reporting_month, regexp_extract(file_path, '([^/]*)/[^/]*$', 1) AS folder, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.[^.]*$', '') AS stem,
+  COALESCE(NULLIF(trim(regexp_replace(lower(trim(country)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') || '_' || reporting_month AS want FROM intake_result),
+months AS (SELECT *, CASE WHEN regexp_full_match(folder, '\d{4}-\d{2}') THEN folder ELSE COALESCE(NULLIF(regexp_extract(stem, '(^|_)(\d{4}-\d{2})(_|$)', 2), ''), folder) END AS month FROM parts)
+SELECT intake_id, month, CASE WHEN reporting_month IS NOT NULL THEN stem = want OR starts_with(stem, want || '_') END AS named FROM months""")
+def file_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month that each arrival's path names, and whether its file is named by country and month."""
+    path = F.col("file_path")
+    return table(spark, sf_dir, "intake_result").select("intake_id", text.path_month(path).alias("month"), text.file_named(path, F.col("country"), F.col("reporting_month")).alias("named"))
+
+
 @query("""WITH before AS (SELECT intake_id, row_count, LAG(row_count) OVER (PARTITION BY client_id, country ORDER BY received_at, intake_id) AS baseline FROM intake_result)
 SELECT intake_id, row_count, baseline, CASE WHEN COALESCE(row_count, 0) = 0 THEN 'empty' WHEN row_count * 2 <= baseline THEN 'low' ELSE 'ordinary' END AS volume FROM before""")
 def row_volume_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,16 +294,18 @@ def row_volume_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.select("intake_id", "row_count", F.col("prev_row_count").alias("baseline"), volume.alias("volume"))
 
 
-_OVERLAP = "left(transaction_timestamp, 7)"
+_MONTHS = r"""WITH dated AS (SELECT *, strftime(TRY_CAST(CASE WHEN regexp_matches(transaction_timestamp, '^\s*\d{4}-?\d{2}-?\d{2}($|[Tt\s])')
+  THEN regexp_replace(transaction_timestamp, '^\s*(\d{4})-?(\d{2})-?(\d{2}).*$', '\1-\2-\3') END AS DATE), '%Y-%m') AS reporting_month FROM silver)
+"""
 
 
-@query(f"""SELECT {_OVERLAP} AS month, COUNT(*) AS n_rows FROM silver WHERE transaction_timestamp IS NOT NULL AND regexp_matches(transaction_timestamp, '^\\d{{4}}-') GROUP BY 1""")
+@query(_MONTHS + "SELECT reporting_month AS month, COUNT(*) AS n_rows FROM dated WHERE reporting_month IS NOT NULL GROUP BY 1")
 def source_overlap_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources that share a month, put together without counting that month twice."""
-    rows = table(spark, sf_dir, "silver").where(F.col("transaction_timestamp").rlike(r"^\d{4}-"))
-    month = F.left("transaction_timestamp", F.lit(7))
-    shared = month == "2024-03"
-    joined = rel.remove_overlap(rows.where(month <= "2024-03"), rows.where(month >= "2024-03"), shared, "transaction_timestamp", _SILVER)
+    """Two sources of which the older ends inside a month that the newer repeats and goes on with, put together without counting a row twice."""
+    rows = table(spark, sf_dir, "silver").withColumns({"_month": written_month("transaction_timestamp"), "_day": written_day("transaction_timestamp")})
+    month = F.col("_month")
+    older, newer = rows.where(F.col("_day") <= "2024-03-09"), rows.where(month >= "2024-03")
+    joined = rel.remove_overlap(older, newer, month == "2024-03", "_day", _SILVER)
     return joined.groupBy(month.alias("month")).agg(F.count("*").alias("n_rows"))
 
 
@@ -271,38 +316,9 @@ def multiset_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.multiset_difference(business, business.distinct())
 
 
-@query("""SELECT country, left(transaction_timestamp, 7) AS reporting_month, COUNT(*) AS n_rows, COUNT(DISTINCT source_file_id) AS n_files, MIN(source_row_number) AS first_row, MAX(source_row_number) AS last_row
-FROM silver WHERE country IS NOT NULL AND transaction_timestamp IS NOT NULL GROUP BY 1, 2""")
-def country_month_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "silver").withColumn("reporting_month", F.left("transaction_timestamp", F.lit(7))).dropna(subset=["country", "reporting_month"])
-    lines = (F.count("*").alias("n_rows"), F.count_distinct("source_file_id").alias("n_files"))
-    return rows.groupBy("country", "reporting_month").agg(*lines, F.min("source_row_number").alias("first_row"), F.max("source_row_number").alias("last_row"))
-
-
-@query("""SELECT country, left(transaction_timestamp, 7) AS reporting_month, COUNT(*) AS n_rows, MIN(source_row_number) AS first_row, MAX(source_row_number) AS last_row
-FROM silver WHERE country IS NOT NULL AND transaction_timestamp IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 20 ORDER BY 2, 1 LIMIT 25""")
-def split_min_rows_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "silver").withColumn("reporting_month", F.left("transaction_timestamp", F.lit(7)))
-    return rel.split_groups(rows, ["reporting_month", "country"], 20, 25)
-
-
-# the three queries above read extended ISO forms only, as their SQL does; these read both
-_MONTHS = r"""WITH dated AS (SELECT *, strftime(TRY_CAST(CASE WHEN regexp_matches(transaction_timestamp, '^\s*\d{4}-?\d{2}-?\d{2}($|[Tt\s])')
-  THEN regexp_replace(transaction_timestamp, '^\s*(\d{4})-?(\d{2})-?(\d{2}).*$', '\1-\2-\3') END AS DATE), '%Y-%m') AS reporting_month FROM silver)
-"""
-
-
-@query(_MONTHS + "SELECT reporting_month AS month, COUNT(*) AS n_rows FROM dated WHERE reporting_month IS NOT NULL GROUP BY 1")
-def source_overlap_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "silver").withColumns({"_month": written_month("transaction_timestamp"), "_day": written_day("transaction_timestamp")})
-    month = F.col("_month")
-    joined = rel.remove_overlap(rows.where(month <= "2024-03"), rows.where(month >= "2024-03"), month == "2024-03", "_day", _SILVER)
-    return joined.groupBy(month.alias("month")).agg(F.count("*").alias("n_rows"))
-
-
 @query(_MONTHS + """SELECT country, reporting_month, COUNT(*) AS n_rows, COUNT(DISTINCT source_file_id) AS n_files, MIN(source_row_number) AS first_row, MAX(source_row_number) AS last_row
 FROM dated WHERE country IS NOT NULL AND reporting_month IS NOT NULL GROUP BY 1, 2""")
-def country_month_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def country_month_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "silver").withColumn("reporting_month", written_month("transaction_timestamp")).dropna(subset=["country", "reporting_month"])
     lines = (F.count("*").alias("n_rows"), F.count_distinct("source_file_id").alias("n_files"))
     return rows.groupBy("country", "reporting_month").agg(*lines, F.min("source_row_number").alias("first_row"), F.max("source_row_number").alias("last_row"))
@@ -310,7 +326,7 @@ def country_month_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MONTHS + """SELECT country, reporting_month, COUNT(*) AS n_rows, MIN(source_row_number) AS first_row, MAX(source_row_number) AS last_row
 FROM dated WHERE country IS NOT NULL AND reporting_month IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 20 ORDER BY 2, 1 LIMIT 25""")
-def split_groups_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_min_rows_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "silver").withColumn("reporting_month", written_month("transaction_timestamp"))
     return rel.split_groups(rows, ["reporting_month", "country"], 20, 25)
 
@@ -349,14 +365,19 @@ def batch_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("n_arrivals"), F.sum("row_count").cast("bigint").alias("n_rows"), F.count_distinct("file_hash").alias("n_files"))
 
 
-@query("""SELECT source, COUNT(*) FILTER (WHERE regexp_matches(text, '(?i)\\b(ignore|disregard|forget)\\b.{0,40}\\b(previous|prior|above|earlier)\\b.{0,20}\\b(instructions?|prompts?|rules)\\b|\\b(system|developer) (prompt|message)\\b|\\byou are now\\b')) AS n_instruction_like,
-COUNT(*) AS n_documents FROM documents GROUP BY 1""")
+_ADDRESSED = r"""(?i)ignore (all )?(previous|prior) instructions|system prompt|\bact as (an? |the )?(system|assistant|developer)\b|\bcall (a |the )?tool\b|\bexecute (this|the) (command|code|script|tool)\b|\breveal (credentials|secrets|the prompt)\b"""
+
+
+@query(f"SELECT source, COUNT(*) FILTER (WHERE regexp_matches(text, '{_ADDRESSED}')) AS n_instruction_like, COUNT(*) AS n_documents FROM documents GROUP BY 1")
 def instruction_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = table(spark, sf_dir, "documents").select("source", text.instruction_like(F.col("text")).alias("hit"))
     return marked.groupBy("source").agg(F.count_if("hit").alias("n_instruction_like"), F.count("*").alias("n_documents"))
 
 
-@query()
+@query(f"""WITH cells AS (SELECT source_file_id, UNNEST([Invoice, StockCode, Description, Quantity, InvoiceDate, Price, "Customer ID", Country]) AS cell FROM workbook),
+bare AS (SELECT *, ltrim(cell, chr(9) || chr(13)) AS inside FROM cells)
+SELECT source_file_id, COUNT(*) FILTER (WHERE cell LIKE chr(9) || '%' OR cell LIKE chr(13) || '%' OR inside LIKE '=%' OR inside LIKE '+%' OR inside LIKE '@%' OR (inside LIKE '-%' AND NOT regexp_full_match(trim(inside), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'))) AS n_formula_like,
+COUNT(*) FILTER (WHERE regexp_matches(cell, '{_ADDRESSED}')) AS n_instruction_like FROM bare GROUP BY 1""")
 def cell_safety_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze.text_findings(table(spark, sf_dir, "workbook"), "source_file_id", _BUSINESS)
 
@@ -404,17 +425,18 @@ def group_counts_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "silver").groupBy("customer_id", "country").agg(F.count("*").alias("n_rows"))
 
 
-@query("""WITH a AS (SELECT COUNT(*) AS rows, COUNT(customer_id) AS customers, CAST(SUM(quantity) AS BIGINT) AS units FROM silver WHERE left(transaction_timestamp, 4) = '2024'),
-b AS (SELECT COUNT(*) AS rows, COUNT(customer_id) AS customers, CAST(SUM(quantity) AS BIGINT) AS units FROM silver WHERE left(transaction_timestamp, 4) = '2023')
-SELECT 'rows' AS metric, a.rows AS current_value, b.rows AS baseline_value, a.rows - b.rows AS delta FROM a, b UNION ALL SELECT 'customers', a.customers, b.customers, a.customers - b.customers FROM a, b
-UNION ALL SELECT 'units', a.units, b.units, a.units - b.units FROM a, b""")
+@query(r"""WITH years AS (SELECT left(trim(transaction_timestamp), 4) AS year, COUNT(*) AS rows, COUNT(customer_id) AS customers, CAST(SUM(quantity) AS BIGINT) AS units FROM silver WHERE regexp_matches(transaction_timestamp, '^\s*\d{4}') GROUP BY 1),
+long AS (SELECT year, 'rows' AS metric, rows AS value FROM years UNION ALL SELECT year, 'customers', customers FROM years UNION ALL SELECT year, 'units', units FROM years)
+SELECT n.year AS year, n.metric AS metric, n.value AS current_value, p.value AS baseline_value, n.value - p.value AS delta FROM long n LEFT JOIN long p ON p.metric = n.metric AND CAST(p.year AS INT) + 1 = CAST(n.year AS INT)""")
 def report_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of two years side by side, unpivoted and joined on the metric."""
-    rows = table(spark, sf_dir, "silver").withColumn("year", F.left("transaction_timestamp", F.lit(4)))
+    """Metrics of each year beside those of the year before, unpivoted and joined on year and metric."""
+    year = F.nullif(F.regexp_extract("transaction_timestamp", r"^\s*(\d{4})", 1), F.lit(""))
+    rows = table(spark, sf_dir, "silver").withColumn("year", year).where(F.col("year").isNotNull())
     sums = rows.groupBy("year").agg(F.count("*").alias("rows"), F.count("customer_id").alias("customers"), F.sum("quantity").cast("bigint").alias("units"))
     long = sums.unpivot("year", ["rows", "customers", "units"], "metric", "value")
-    now, then = long.where("year = '2024'").select("metric", F.col("value").alias("current_value")), long.where("year = '2023'").select("metric", F.col("value").alias("baseline_value"))
-    return now.join(then, "metric").withColumn("delta", F.col("current_value") - F.col("baseline_value"))
+    then = long.select((F.col("year").cast("int") + 1).alias("_next"), F.col("metric").alias("_metric"), F.col("value").alias("baseline_value"))
+    joined = long.join(then, (F.col("year").cast("int") == F.col("_next")) & (F.col("metric") == F.col("_metric")), "left")
+    return joined.select("year", "metric", F.col("value").alias("current_value"), "baseline_value", (F.col("value") - F.col("baseline_value")).alias("delta"))
 
 
 @query("""SELECT 'workbook' AS source, COUNT(*) AS n_rows FROM workbook UNION ALL SELECT 'silver', COUNT(*) FROM silver""")

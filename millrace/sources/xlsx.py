@@ -1,14 +1,16 @@
 """Workbooks (.xlsx) as a Spark data source, read and written with the standard library.
 
-``spark.read.format("xlsx").load(path)`` gives one row per cell: a workbook is one input
-partition, its sheets are streamed.  Options: ``sheet`` reads one sheet only, ``naStrings``
-(default true) turns the usual spreadsheet placeholders into nulls.
+``read_cells`` gives one row per cell.  Files are listed and read by Spark's binary source, from any
+file system it knows, packed into tasks by their size; a task unpacks one sheet at a time.  The
+same reader serves ``spark.read.format("xlsx")`` for paths that all machines mount, with a
+workbook per partition.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -16,10 +18,13 @@ from pathlib import Path
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from millrace.operators.ordered import range_prefix_sums
+
 SCHEMA = "file string, sheet string, row_number int, column_index int, header string, cell_type string, raw string, formula string"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -111,6 +116,37 @@ def package_findings(data: bytes) -> list[str]:
     return found + [code for code, hit in checks.items() if hit]
 
 
+def workbook_findings(data: bytes) -> list[tuple[str, str | None]]:
+    """(code, sheet) of what is unsafe about a workbook: its package, the number of its sheets and their extent."""
+    found = [(code, None) for code in package_findings(data)]
+    if found:
+        return found  # not opened any further
+    book = Workbook(data)
+    if len(book.sheets) > MAX_SHEETS:
+        return [("sheet_count_limit_exceeded", None)]
+    for sheet in book.sheets:
+        rows = columns = 0
+        for row, column, *_ in book.cells(sheet):
+            rows, columns = max(rows, row), max(columns, column + 1)
+            if rows > MAX_ROWS or columns > MAX_COLUMNS:
+                found.append(("worksheet_dimension_limit_exceeded", sheet))
+                break
+    return found
+
+
+def rows_of(data: bytes, file: str, wanted: str | None, empty: bool) -> Iterator[tuple]:
+    """Cells of a workbook under its header row, as in ``SCHEMA``."""
+    book = Workbook(data)
+    for sheet in [s for s in book.sheets if wanted in (None, s)]:
+        headers: dict[int, str | None] = {}
+        for row, column, kind, text, formula in book.cells(sheet):
+            if row == 1:
+                headers[column] = text
+            elif not (text is None and formula is None):
+                value = None if empty and kind == "s" and text in NA_STRINGS else text
+                yield file, sheet, row, column, headers.get(column), kind, value, formula
+
+
 class XlsxPartition(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -128,19 +164,11 @@ class XlsxReader(DataSourceReader):
 
     def read(self, partition: XlsxPartition) -> Iterator[tuple]:
         wanted, empty = self.options.get("sheet"), str(self.options.get("nastrings", "true")).lower() == "true"
-        book = Workbook(partition.path)
-        for sheet in [s for s in book.sheets if wanted in (None, s)]:
-            headers: dict[int, str | None] = {}
-            for row, column, kind, text, formula in book.cells(sheet):
-                if row == 1:
-                    headers[column] = text
-                elif not (text is None and formula is None):
-                    value = None if empty and kind == "s" and text in NA_STRINGS else text
-                    yield partition.path, sheet, row, column, headers.get(column), kind, value, formula
+        yield from rows_of(Path(partition.path).read_bytes(), partition.path, wanted, empty)
 
 
 class XlsxDataSource(DataSource):
-    """Cells of workbooks under a path that all executors can read."""
+    """Cells of workbooks under a path that all machines mount."""
 
     @classmethod
     def name(cls) -> str:
@@ -153,10 +181,38 @@ class XlsxDataSource(DataSource):
         return XlsxReader({k.lower(): v for k, v in self.options.items()})
 
 
+def files(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
+    """``path``, ``length`` and ``content`` of files under a folder, through Hadoop's file system."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
+    """``path``, ``length`` and ``file_hash``, the SHA-256 of each file's bytes."""
+    return files(spark, path, pattern).select("path", "length", F.sha2("content", 256).alias("file_hash"))
+
+
 def read_cells(spark: SparkSession, path: str, sheet: str | None = None, na_strings: bool = True) -> DataFrame:
-    spark.dataSource.register(XlsxDataSource)
-    reader = spark.read.format("xlsx").option("naStrings", str(na_strings))
-    return (reader.option("sheet", sheet) if sheet is not None else reader).load(path)
+    """Cells of all workbooks under ``path``; ``na_strings`` turns the usual placeholders of empty cells into nulls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        for batch in batches:
+            for r in batch.itertuples():
+                cells = rows_of(r.content, r.path, sheet, na_strings)
+                while part := list(itertools.islice(cells, 20_000)):
+                    yield pd.DataFrame(part, columns=names)
+
+    return files(spark, path).select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def unsafe_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``code`` and ``sheet`` of the findings of ``workbook_findings`` over all workbooks under ``path``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(r.path, code, sheet) for r in batch.itertuples() for code, sheet in workbook_findings(r.content)], columns=["file", "code", "sheet"])
+
+    return files(spark, path).select("path", "content").mapInPandas(run, "file string, code string, sheet string")
 
 
 def widen(cells: DataFrame, headers: list[str]) -> DataFrame:
@@ -181,8 +237,12 @@ def formula_findings(cells: DataFrame, most: int = 20) -> DataFrame:
     from millrace.functions.text import external_formula
 
     code = F.when(external_formula(F.col("formula")), "external_formula_cells").otherwise("formula_cells")
-    places = F.slice(F.array_sort(F.collect_list(F.struct("sheet", "row_number", "column_index"))), 1, most)
-    return cells.where(F.col("formula").isNotNull()).groupBy("file", code.alias("code")).agg(F.count("*").alias("n"), places.alias("places"))
+    hit = cells.where(F.col("formula").isNotNull()).select("file", code.alias("code"), "sheet", "row_number", "column_index")
+    key = ["file", "code"]
+    counted = hit.groupBy(*key, "sheet", "row_number", "column_index").agg(F.count("*").alias("_n"))
+    ranked = range_prefix_sums(counted, key, ["sheet", "row_number", "column_index"], {"_upto": "_n"})
+    first = F.when(F.col("_upto") <= most, F.struct("sheet", "row_number", "column_index"))
+    return ranked.groupBy(*key).agg(F.max("_upto").alias("n"), F.array_sort(F.collect_list(first)).alias("places"))
 
 
 def _name(k: int) -> str:
@@ -234,14 +294,12 @@ def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
 
 
 def write_workbooks(df: DataFrame, folder: str, group: list[str], columns: list[str], order: list[str], sheet: str = "Transactions") -> DataFrame:
-    """A workbook per group at ``folder/<last key>/<first key>_<last key>.xlsx``; returns path, rows and hash of each.
+    """A workbook per slug of the first key and value of the last at ``folder/<last>/<slug>_<last>.xlsx``; returns path, rows and hash of each.
 
     Each group is one file, so it is as large as a worksheet may be; larger groups are refused.
     """
     import hashlib
 
-    import pandas as pd
-
     from millrace.functions.text import slug
 
     root = folder.removeprefix("file://")
@@ -260,4 +318,4 @@ def write_workbooks(df: DataFrame, folder: str, group: list[str], columns: list[
         return pd.DataFrame([{"path": str(path), "row_count": len(part), "file_hash": hashlib.sha256(data).hexdigest()}])
 
     marked = df.withColumns({"_slug": slug(F.col(group[0])), "_month": F.col(group[-1])})
-    return marked.groupBy(*group).applyInPandas(write, "path string, row_count long, file_hash string")
+    return marked.groupBy("_slug", "_month").applyInPandas(write, "path string, row_count long, file_hash string")

@@ -11,13 +11,15 @@ from millrace.sources.jsonl import SnapshotStore
 def follow(spark: SparkSession, schema: str, inbox: str, store: SnapshotStore, key: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Each batch of parquet files replaces the facts of the inputs (``key``) that it holds.
 
-    A batch that is delivered twice gives the same snapshot, so a restart does no harm.
+    Only the buckets of these inputs are read and written.  A batch that is delivered twice gives
+    the same table, so a restart does no harm.
     """
 
     def sync(batch: DataFrame, _: int) -> None:
         held = batch.persist()
         try:
-            store.swap(lambda now: held if now is None else now.join(held.select(key).distinct(), key, "left_anti").unionByName(held))
+            if not held.isEmpty():
+                store.replace(held, key)
         finally:
             held.unpersist()
 

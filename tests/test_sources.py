@@ -50,6 +50,19 @@ def test_package_findings(tmp_path):
     assert set(xlsx.package_findings(out.getvalue())) == {"unsafe_archive_path", "suspicious_archive_compression", "macro_content_present", "embedded_active_content_present", "external_connections_present"}
 
 
+def test_unsafe_workbooks_and_hashes(spark, tmp_path, monkeypatch):
+    book(tmp_path / "good.xlsx", ROWS)
+    book(tmp_path / "wide.xlsx", [["h"] * 1001])
+    book(tmp_path / "many.xlsx", [["h"]], [f"s{k}" for k in range(51)])
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    found = {(r.file.rsplit("/", 1)[1], r.code, r.sheet) for r in xlsx.unsafe_workbooks(spark, str(tmp_path)).collect()}
+    assert found == {("wide.xlsx", "worksheet_dimension_limit_exceeded", "Transactions"), ("many.xlsx", "sheet_count_limit_exceeded", None), ("bad.xlsx", "workbook_read_failed", None)}
+    hashes = {r.path.rsplit("/", 1)[1]: r.file_hash for r in xlsx.file_hashes(spark, str(tmp_path)).collect()}
+    assert hashes == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.iterdir()}
+    spark.dataSource.register(xlsx.XlsxDataSource)
+    assert spark.read.format("xlsx").load(str(tmp_path / "good.xlsx")).count() == 8
+
+
 def test_formula_findings(spark):
     cells = spark.createDataFrame([("f", "S", 2, 0, "=SUM(A1)"), ("f", "S", 3, 0, "=WEBSERVICE(\"http://x\")"), ("f", "S", 4, 0, None)], "file string, sheet string, row_number int, column_index int, formula string")
     assert {(r.code, r.n) for r in xlsx.formula_findings(cells).collect()} == {("formula_cells", 1), ("external_formula_cells", 1)}
@@ -76,6 +89,10 @@ def test_json_lines(spark, tmp_path):
     assert rows.where("fault = 'not_an_object'").count() == 1
     with pytest.raises(Exception, match="faulty line"):
         jsonl.require_sound(rows).collect()
+    odd = {"quantity": ["many", 1.5, True, None, "2"], "invoice_id": [None, "", 7], "unit_price": [2.5, "inf", "x"], "customer_id": [5], "source_row_number": [1, "2"], "transaction_timestamp": ["2024-02-30", "soon", None], "source_file_id": [None]}
+    (tmp_path / "odd.jsonl").write_text("\n".join(json.dumps(CANONICAL | {f: v}) for f, values in odd.items() for v in values))
+    faults = jsonl.read_rows(spark, str(tmp_path / "odd.jsonl")).groupBy("fault").count().collect()
+    assert {r.fault: r["count"] for r in faults} == {f"invalid_{f}": len(values) for f, values in odd.items()}
     good = jsonl.require_sound(rows.where("fault is null"))
     jsonl.write_rows(good, str(tmp_path / "out"))
     jsonl.write_rows(good, str(tmp_path / "out"))
@@ -93,6 +110,23 @@ def test_snapshots_swap_or_stay(spark, tmp_path):
     assert store.current().count() == 2 and [r["status"] for r in store.runs()] == ["SUCCESS", "SUCCESS", "FAILED"]
 
 
+def test_replacing_keys_leaves_other_buckets(spark, tmp_path):
+    store = jsonl.SnapshotStore(spark, str(tmp_path / "gold"))
+    row = "file string, n int"
+    store.swap(lambda now: spark.createDataFrame([(f"f{k % 50}", k) for k in range(200)] + [(None, -1)], row))
+    store.replace(spark.createDataFrame([("f0", 1000)], row), "file")
+    before = set(store._list()["parts"])
+    store.replace(spark.createDataFrame([("f1", 1001), ("new", 1002), (None, 1003)], row), "file")
+    after = set(store._list()["parts"])
+    assert len(after - before) <= 3 < len(after & before)
+    got = sorted((r.file or "", r.n) for r in store.current().collect())
+    want = [(f"f{k % 50}", k) for k in range(200) if k % 50 > 1] + [("f0", 1000), ("f1", 1001), ("new", 1002), ("", 1003)]
+    assert got == sorted(want)
+    with pytest.raises(Exception, match="broken"):
+        store.replace(spark.createDataFrame([("f2", 1)], row).withColumn("n", F.raise_error(F.lit("broken")).cast("int")), "file")
+    assert sorted((r.file or "", r.n) for r in store.current().collect()) == got
+
+
 def test_stream_replaces_inputs(spark, tmp_path):
     store, inbox = jsonl.SnapshotStore(spark, str(tmp_path / "gold")), str(tmp_path / "inbox")
     for batch in ([("f", 1), ("g", 2)], [("g", 3), ("g", 4)]):
