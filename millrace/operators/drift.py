@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import finite_decimal
 from millrace.operators.ordered import with_previous
 
 SKETCH = 8
@@ -163,11 +164,29 @@ def schema_changes(arrivals: DataFrame, records: DataFrame, aliases: DataFrame)
 
 
 FIELDS = ("invoice", "product", "description", "quantity", "date", "price", "customer", "country")
+NUMBERS = ("quantity", "price")
 
 
-def unified_records(records: DataFrame, aliases: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def learned_fields(changes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``name`` and ``learned``: the field of headers that the registry lacks but a matching tied to one that it has.
+
+    A match counts in both directions of time, over all clients.  Of several fields the one with
+    most matches holds, then the better score, then the greater name.
+    """
+    known = aliases.groupBy("alias_name").agg(F.min("field_name").alias("_field"))
+    pairs = changes.where(F.col("change_kind") == "likely_renamed").select(F.explode(F.array(F.struct(F.col("previous_header").alias("here"), F.col("header").alias("there")), F.struct(F.col("header").alias("here"), F.col("previous_header").alias("there")))).alias("p"), "score")
+    pairs = pairs.select("p.here", "p.there", "score").join(known, F.col("there") == F.col("alias_name")).drop("alias_name")
+    pairs = pairs.join(known.select("alias_name"), F.col("here") == F.col("alias_name"), "left_anti")
+    votes = pairs.groupBy("here", "_field").agg(F.struct(F.count("*").alias("n"), F.max("score").alias("score"), "_field").alias("v"))
+    return votes.groupBy(F.col("here").alias("name")).agg(F.max("v")["_field"].alias("learned"))
+
+
+def unified_records(records: DataFrame, aliases: DataFrame, changes: DataFrame | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One consistent table of raw records: a text column per field, other headers in ``extras``.
 
+    A header's field is the registry's, or else the one that the matched ``changes`` between
+    versions tie it to (``schema_changes``), or else it is an extra.  Texts are one type for all
+    files; ``quantity_value`` and ``price_value`` are the exact numbers of these two fields, null where a text is none.
     Whole numbers that were turned into decimals lose their ``.0`` again, in all fields but
     the price.  Of several headers of one field the smallest header's value counts.  A record
     whose payload is null or no JSON object keeps its key with nulls.
@@ -175,9 +194,15 @@ def unified_records(records: DataFrame, aliases: DataFrame, fields: tuple[str, .
     known = aliases.groupBy("alias_name").agg(F.min("field_name").alias("field_name"))
     cells = records.select("intake_id", "source_row_number", F.explode_outer(F.from_json("payload", "map<string,string>")).alias("header", "value"))
     cells = cells.withColumn("_name", reduced(F.col("header")))
-    named = cells.join(known, cells["_name"] == known["alias_name"], "left").withColumn("field", F.coalesce("field_name", "_name"))
+    named = cells.join(known, cells["_name"] == known["alias_name"], "left")
+    if changes is None:
+        named = named.withColumn("field", F.coalesce("field_name", "_name"))
+    else:
+        more = learned_fields(changes, aliases)
+        named = named.join(more, named["_name"] == more["name"], "left").withColumn("field", F.coalesce("field_name", "learned", "_name"))
     whole = F.regexp_replace("value", r"^(-?\d+)\.0$", "$1")
     value = lambda f: F.min_by(F.when(F.col("field") == f, F.col("value") if f == "price" else whole), F.when(F.col("field") == f, F.col("header")))
     extra = F.when(F.col("header").isNotNull() & ~F.col("field").isin(*fields), F.struct("field", "value"))
     entries = F.array_sort(F.array_distinct(F.collect_list(extra)))
-    return named.groupBy("intake_id", "source_row_number").agg(*(value(f).alias(f) for f in fields), F.to_json(entries).alias("extras"))
+    unified = named.groupBy("intake_id", "source_row_number").agg(*(value(f).alias(f) for f in fields), F.to_json(entries).alias("extras"))
+    return unified.withColumns({f"{f}_value": finite_decimal(F.col(f)) for f in NUMBERS if f in fields})

@@ -25,6 +25,8 @@ NUMERIC = ("unit_price", "quantity")
 PROFILED = ("customer_id", "product_description", "unit_price", "quantity")
 RANGE_LIMIT = 10000
 NUMBER_TYPE = "decimal(38,16)"
+#: Numbers that this type holds without loss.
+EXACT_NUMBER = r"^-?0*[0-9]{1,22}(\.[0-9]{1,16}0*)?$"
 GROUP = ["load_id", "column_name"]
 
 
@@ -56,11 +58,13 @@ def _measures(counts: DataFrame) -> DataFrame:
     outside = (F.col("column_name") == "quantity") & (F.abs(F.col("value").try_cast("bigint")) > RANGE_LIMIT)
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
     blank = is_blank(F.col("value"))
+    beyond = F.col("column_name").isin(*NUMERIC) & F.col("value").rlike(PLAIN_NUMBER) & ~F.col("value").rlike(EXACT_NUMBER)
     return counts.groupBy(*GROUP).agg(
         F.sum("n").alias("n_rows"),
         total(blank).alias("n_blank"),
         total(~blank & broken).alias("n_off_form"),
         total(outside).alias("n_outside"),
+        total(beyond).alias("n_beyond"),
         F.count(F.when(~blank, 1)).alias("n_distinct"),
     )
 
@@ -68,7 +72,7 @@ def _measures(counts: DataFrame) -> DataFrame:
 def _sortable(counts: DataFrame) -> DataFrame:
     """Values with a place in order: numbers of numeric columns (equal numbers once), other texts as written."""
     numeric = F.col("column_name").isin(*NUMERIC)
-    number = F.when(numeric & F.col("value").rlike(PLAIN_NUMBER), F.col("value").try_cast(NUMBER_TYPE))
+    number = F.when(numeric & F.col("value").rlike(EXACT_NUMBER), F.col("value").try_cast(NUMBER_TYPE))
     typed = counts.where(~is_blank(F.col("value"))).select(*GROUP, number.alias("number"), F.when(~numeric, F.col("value")).alias("text"), "n")
     return typed.where(F.col("number").isNotNull() | F.col("text").isNotNull()).groupBy(*GROUP, "number", "text").agg(F.sum("n").alias("n"))
 
@@ -122,7 +126,8 @@ def profile(rows: DataFrame, points: dict[str, float] | None = None, with_ks: bo
 
     Null and blank values count as blank and take no part in quantiles, distances and distinct
     counts; texts of numeric columns that are no plain number count as off form and take no
-    part either.  Ties are ordinary: equal values count with their number.  An empty table
+    part either; plain numbers of more digits than an exact number can hold (over 22 before the
+    point or 16 behind it) neither, ``n_beyond`` counts them.  Ties are ordinary: equal values count with their number.  An empty table
     gives no rows.  Columns of ``rows`` other than the load's, client's and profiled ones are
     not read.
     """

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 #: Values are exact up to 16 places behind the point; int * decimal(27,16) sums as decimal(38,16).
 PRICE_TYPE = "decimal(27,16)"
+#: Prices that this type holds without loss.
+EXACT_PRICE = r"^-?0*[0-9]{1,11}(\.[0-9]{1,16}0*)?$"
 
 
 def written_day(column: str) -> Column:
@@ -24,19 +26,20 @@ def written_month(column: str) -> Column:
 
 
 def daily_sales(silver: DataFrame) -> DataFrame:
-    """``customer_id``, ``day``, ``total`` and ``n_rows`` from canonical rows.
+    """``customer_id``, ``day``, ``total``, ``n_rows`` and ``n_beyond`` from canonical rows.
 
     Counted: six or seven digit customers, a quantity, a plain price and a readable day.  Rows
     of equal (source_file_id, source_row_number) count once: they are copies in full; if they
     ever differ, the smallest in column order counts.  A null in either part of that key is a
-    value like any other.
+    value like any other.  Rows whose price has more digits than an exact sum can hold (over 11
+    before the point or 16 behind it) are no part of ``total``; ``n_beyond`` counts them.
     """
     row = silver.select("source_file_id", "source_row_number", "customer_id", "quantity", "unit_price", "transaction_timestamp")
     good = row.where(
         F.col("customer_id").rlike("^[0-9]{6,7}$") & F.col("quantity").isNotNull() & F.col("unit_price").rlike(PLAIN_NUMBER)
-    ).select("source_file_id", "source_row_number", "customer_id", written_day("transaction_timestamp").alias("day"), (F.col("quantity").cast("int") * F.col("unit_price").try_cast(PRICE_TYPE)).alias("value"))
+    ).select("source_file_id", "source_row_number", "customer_id", written_day("transaction_timestamp").alias("day"), (F.col("quantity").cast("int") * F.when(F.col("unit_price").rlike(EXACT_PRICE), F.col("unit_price")).try_cast(PRICE_TYPE)).alias("value"))
     once = good.where(F.col("day").isNotNull()).groupBy("source_file_id", "source_row_number").agg(F.min(F.struct("customer_id", "day", "value")).alias("r"))
-    return once.select("r.*").groupBy("customer_id", "day").agg(F.sum("value").alias("total"), F.count("*").alias("n_rows"))
+    return once.select("r.*").groupBy("customer_id", "day").agg(F.sum("value").alias("total"), F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_beyond"))
 
 
 def trailing_totals(daily: DataFrame, entity: str = "customer_id", periods: tuple[int, ...] = (7, 30)) -> DataFrame:

@@ -68,7 +68,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.unified_records(table(spark, sf_dir, "raw_record"), table(spark, sf_dir, "header_alias"))
+    """All raw records under one schema; headers outside the registry go by the matches between versions."""
+    return drift.unified_records(table(spark, sf_dir, "raw_record"), table(spark, sf_dir, "header_alias"), p7_changes(spark, sf_dir))
 
 
 QUERIES = {
@@ -97,7 +98,7 @@ rolled AS (
   FROM calendar c LEFT JOIN daily d ON d.customer_id = c.customer_id AND d.day BETWEEN c.day - 29 AND c.day
   GROUP BY ALL)
 """
-_P6 = """
+_CELLS = """
 WITH cells AS (
   SELECT load_id, 'customer_id' AS column_name, customer_id AS value FROM silver
   UNION ALL SELECT load_id, 'product_description', product_description FROM silver
@@ -109,8 +110,9 @@ marked AS (
       WHEN 'unit_price' THEN NOT regexp_full_match(value, '-?[0-9]+(\\.[0-9]+)?')
       WHEN 'product_description' THEN NOT regexp_full_match(value, '[A-Z0-9&\\-.,''/]+( [A-Z0-9&\\-.,''/]+)*') ELSE FALSE END AS off,
     CASE WHEN column_name IN ('unit_price', 'quantity') AND regexp_full_match(value, '-?[0-9]+(\\.[0-9]+)?') THEN CAST(value AS DECIMAL(27,10)) END AS number
-  FROM cells),
-stats AS (
+  FROM cells)
+"""
+_P6 = _CELLS + """, stats AS (
   SELECT load_id, column_name, COUNT(*) AS n, COUNT(*) FILTER (WHERE blank) AS b, COUNT(*) FILTER (WHERE NOT blank) AS f,
     COUNT(*) FILTER (WHERE NOT blank AND off) AS o, COUNT(*) FILTER (WHERE column_name = 'quantity' AND ABS(number) > 10000) AS r,
     COUNT(DISTINCT value) FILTER (WHERE NOT blank) AS u, quantile_disc(number, 0.5) AS m
@@ -125,6 +127,27 @@ UNION ALL SELECT load_id, column_name, 'median' FROM paired WHERE m > 0 AND pm >
 UNION ALL SELECT load_id, column_name, 'distinct' FROM paired
   WHERE column_name = 'product_description' AND f > 0 AND pf > 0 AND (u * pf >= 2 * pu * f OR 2 * u * pf <= pu * f)
 """
+_POINTS = {"least": 0.0, "lower": 0.25, "median": 0.5, "upper": 0.75, "most": 1.0}
+_PROFILE = _CELLS + """, counts AS (
+  SELECT load_id, column_name, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE blank) AS n_blank, COUNT(*) FILTER (WHERE NOT blank AND off) AS n_off_form,
+    COUNT(*) FILTER (WHERE column_name = 'quantity' AND ABS(number) > 10000) AS n_outside, CAST(0 AS BIGINT) AS n_beyond, COUNT(DISTINCT value) FILTER (WHERE NOT blank) AS n_distinct
+  FROM marked GROUP BY ALL),
+sortable AS (
+  SELECT load_id, column_name, CAST(number AS DECIMAL(38,16)) AS number, CASE WHEN column_name NOT IN ('unit_price', 'quantity') THEN value END AS text, COUNT(*) AS n FROM marked
+  WHERE NOT blank AND (number IS NOT NULL OR column_name NOT IN ('unit_price', 'quantity')) GROUP BY ALL),
+sizes AS (SELECT load_id, column_name, CAST(SUM(n) AS BIGINT) AS n_sorted FROM sortable GROUP BY ALL),
+placed AS (SELECT s.*, z.n_sorted, SUM(n) OVER (PARTITION BY load_id, column_name ORDER BY number NULLS FIRST, text NULLS FIRST) AS upto FROM sortable s JOIN sizes z USING (load_id, column_name)),
+points AS (SELECT load_id, column_name, n_sorted, """ + ", ".join(
+    f"MIN({kind}) FILTER (WHERE upto >= GREATEST(1, CEIL(n_sorted * {q}))) AS {name}_{kind}" for kind in ("number", "text") for name, q in _POINTS.items()
+) + """ FROM placed GROUP BY ALL),
+loads AS (SELECT load_id, client_id, LAG(load_id) OVER (PARTITION BY client_id ORDER BY load_id) AS previous_load FROM (SELECT load_id, MAX(client_id) AS client_id FROM silver GROUP BY ALL)),
+merged AS (
+  SELECT l.load_id, column_name, number, text, SUM(CASE WHEN s.load_id = l.load_id THEN n ELSE 0 END) AS now, SUM(CASE WHEN s.load_id = l.load_id THEN 0 ELSE n END) AS prior
+  FROM loads l JOIN sortable s ON s.load_id = l.load_id OR s.load_id = l.previous_load WHERE previous_load IS NOT NULL GROUP BY ALL),
+curves AS (SELECT *, SUM(now) OVER w AS a, SUM(prior) OVER w AS b, SUM(now) OVER (PARTITION BY load_id, column_name) AS na, SUM(prior) OVER (PARTITION BY load_id, column_name) AS nb
+  FROM merged WINDOW w AS (PARTITION BY load_id, column_name ORDER BY number NULLS FIRST, text NULLS FIRST)),
+apart AS (SELECT load_id, column_name, CAST(MAX(ABS(a * nb - b * na)) AS DOUBLE) / (CAST(na AS DOUBLE) * CAST(nb AS DOUBLE)) AS ks_distance FROM curves WHERE na > 0 AND nb > 0 GROUP BY load_id, column_name, na, nb)
+SELECT * FROM counts LEFT JOIN points USING (load_id, column_name) LEFT JOIN apart USING (load_id, column_name) JOIN loads USING (load_id)"""
 _P7 = """
 WITH heads AS (
   SELECT intake_id, client_id, received_at, UNNEST(observed_schema) AS header, UNNEST(observed_types) AS type FROM intake_result),
@@ -154,5 +177,6 @@ WHERE day_number >= 30 AND total_7 >= 5000 AND total_30 > 0 AND total_7 * 30 >=
 CAST(total_7 AS DECIMAL(38,16)) AS total_7, CAST(total_30 AS DECIMAL(38,16)) AS total_30,
 ROUND(CAST(total_7 AS DOUBLE) / 7, 9) AS average_7, ROUND(CAST(total_30 AS DOUBLE) / 30, 9) AS average_30 FROM rolled""",
     "p6_found": _P6,
+    "p6_profile": _PROFILE,
     "p7_found": _P7,
 }

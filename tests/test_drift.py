@@ -59,6 +59,18 @@ def test_unified(spark):
     assert got[4, 3].invoice is None and got[4, 4].invoice is None
 
 
+def test_matched_renames_reach_the_table(spark):
+    arrivals, records, aliases = setup(spark)
+    changes = drift.schema_changes(arrivals, records, aliases)
+    assert {tuple(r) for r in drift.learned_fields(changes, aliases).collect()} == {("stkcde", "product")}
+    got = {(r.intake_id, r.source_row_number): r for r in drift.unified_records(records, aliases, changes).collect()}
+    assert (got[4, 2].product, float(got[4, 2].quantity_value), got[4, 2].price_value) == ("54321B", 2.0, None)
+    assert json.loads(got[4, 2].extras) == [{"field": "extra", "value": "x"}] and got[1, 2].product == "12345A"
+    # known to the registry only afterwards: the match counts backwards too
+    later = aliases.where("alias_name <> 'stockcode'").unionByName(spark.createDataFrame([("stkcde", "product")], "alias_name string, field_name string"))
+    assert {tuple(r) for r in drift.learned_fields(drift.schema_changes(arrivals, records, later), later).collect()} == {("stockcode", "product")}
+
+
 def test_order_of_headers_is_no_change(spark):
     arrivals, records, aliases = setup(spark)
     r = random.Random(1)

@@ -65,3 +65,9 @@ def test_empty_and_all_blank(spark):
     blank = spark.createDataFrame([(1, None, None, " ", "", None, 1), (2, None, None, None, None, None, 2)], ROW)
     out = quality.profile(blank)
     assert out.count() == 8 and quality.shifts(out).count() == 0
+
+
+def test_numbers_beyond_exact_ones_are_counted(spark):
+    prices = ["1", "2", "9" * 23, "1.12345678901234567", "00" + "9" * 22, "2.50000000000000000000", "x"]
+    row = quality.profile(spark.createDataFrame([(1, "c", "100010", "A", p, 1, 1) for p in prices], ROW)).where("column_name = 'unit_price'").first()
+    assert (row.n_rows, row.n_off_form, row.n_beyond, row.n_sorted, int(row.most_number)) == (7, 1, 2, 4, int("9" * 22))

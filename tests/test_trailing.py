@@ -41,3 +41,10 @@ def test_empty_and_unreadable(spark):
     assert trailing.trailing_totals(trailing.daily_sales(spark.createDataFrame([], ROW))).count() == 0
     bad = spark.createDataFrame([("f", 1, "100010", 1, "1", None), ("f", 2, "100010", 1, "1", "2024-02-30"), ("f", 3, "100010", 1, "1", "soon")], ROW)
     assert trailing.daily_sales(bad).count() == 0
+
+
+def test_prices_beyond_exact_sums_are_counted(spark):
+    prices = ["1.5", "00000000000000001.50000000000000000000", "99999999999", "100000000000", "1.12345678901234567", "-3"]
+    rows = spark.createDataFrame([("f", k, "100010", 2, p, "2024-01-01") for k, p in enumerate(prices)], ROW)
+    day = trailing.daily_sales(rows).first()
+    assert (day.n_rows, day.n_beyond, day.total) == (6, 2, 2 * (Decimal("3.0") + Decimal(99999999999) - 3))
