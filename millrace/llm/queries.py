@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import encoding, harm, history, packing, together
-from millrace.session import table
+from millrace.session import cut, table
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens as placed, with what is wrong about its pieces and their containers (0: nothing)."""
+    packed = cut(packing.pack_documents(table(spark, sf_dir, "documents")))
+    filled = packed.groupBy("container_id").agg((F.sum("n_tokens") > packing.CAPACITY).cast("int").alias("over"))
+    placed = packed.join(filled, "container_id").groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), F.sum("over").alias("n_over"))
+    sizes = encoding.encode_documents(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("_doc"), F.size("ids").alias("_n"))
+    joined = placed.join(sizes, F.col("doc_id").eqNullSafe(F.col("_doc")), "full_outer")
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("_n") / packing.CAPACITY))
+    wrong = F.when(F.col("doc_id").isNull() | F.col("_n").isNull() | (F.col("n_tokens") != F.col("_n")) | (F.col("n_pieces") != pieces) | (F.col("n_over") > 0), 1).otherwise(0)
+    return joined.select(F.coalesce("doc_id", "_doc").alias("doc_id"), wrong.alias("wrong"))
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -58,7 +70,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harm.source_rates(_scored(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_members, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_members, p8_ids, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)}
 
 _BASKETS = """
 WITH members AS (
@@ -90,4 +102,11 @@ pairs AS (
   UNION SELECT a.intake_id, b.intake_id FROM intake_result a JOIN intake_result b ON a.content_fingerprint = b.content_fingerprint
   UNION SELECT a.intake_id, b.intake_id FROM near JOIN intake_result a ON a.file_hash = x JOIN intake_result b ON b.file_hash = y)
 SELECT DISTINCT LEAST(a, b) AS intake_id_a, GREATEST(a, b) AS intake_id_b FROM pairs WHERE a <> b""",
+    "p5_members": """
+WITH sets AS (
+  SELECT DISTINCT source_file_id AS f, trim(Invoice) AS i, upper(trim(StockCode)) AS s, TRY_CAST(trim(Quantity) AS DOUBLE) AS q
+  FROM workbook WHERE TRY_CAST(trim(Quantity) AS DOUBLE) IS NOT NULL),
+whole AS (SELECT f, list_sort(list({'i': i, 's': s, 'q': q})) AS rows FROM sets GROUP BY f)
+SELECT intake_id, MIN(intake_id) OVER (PARTITION BY rows) AS node FROM intake_result JOIN whole ON f = file_hash""",
+    "p9_fill": "SELECT doc_id, 0 AS wrong FROM documents",
 }
