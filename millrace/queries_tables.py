@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import relational as rel
+from millrace.operators.drift import reduced
 from millrace.operators.trailing import written_day, written_month
 from millrace.plans import bronze, marts, repair, simulate
 from millrace.plans.tenant import TenantSession
-from millrace.session import table
+from millrace.session import cut, shared_dir, table
+from millrace.sources import xlsx
+from millrace.sources.jsonl import SnapshotStore
 
 _BUSINESS = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"]
 _SILVER = ["invoice_id", "product_id", "product_description", "quantity", "transaction_timestamp", "unit_price", "customer_id", "country"]
@@ -227,7 +232,13 @@ def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze.parse_failures(table(spark, sf_dir, "workbook")).drop("examples")
 
 
-@query()
+@query(_CANONICAL + """, bad AS (SELECT w.source_file_id, 'Quantity' AS column_name, w.Quantity AS value, w.source_row_number AS r FROM workbook w JOIN canonical c USING (source_file_id, source_row_number) WHERE w.Quantity IS NOT NULL AND c.quantity IS NULL
+UNION ALL SELECT w.source_file_id, 'Price', w.Price, w.source_row_number FROM workbook w JOIN canonical c USING (source_file_id, source_row_number) WHERE w.Price IS NOT NULL AND c.unit_price IS NULL
+UNION ALL SELECT w.source_file_id, 'InvoiceDate', w.InvoiceDate, w.source_row_number FROM workbook w JOIN canonical c USING (source_file_id, source_row_number) WHERE w.InvoiceDate IS NOT NULL AND c.transaction_timestamp IS NULL),
+seen AS (SELECT source_file_id, column_name, value, COUNT(*) AS n, MIN(r) AS first FROM bad GROUP BY 1, 2, 3),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_file_id, column_name ORDER BY first, value) - 1 AS place, COUNT(*) OVER (PARTITION BY source_file_id, column_name) - 1 AS last FROM seen)
+SELECT source_file_id, column_name, CAST(SUM(n) AS BIGINT) AS n_failures, COUNT(*) AS n_values,
+LIST(left(value, 100) ORDER BY place) FILTER (WHERE last < 5 OR place IN (0, round_even(last / 4, 0), round_even(last / 2, 0), round_even(3 * last / 4, 0), last)) AS examples FROM placed GROUP BY 1, 2""")
 def parse_failure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze.parse_failures(table(spark, sf_dir, "workbook"))
 
@@ -446,13 +457,31 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("source").agg(F.count("*").alias("n_rows"))
 
 
-@query("""WITH hashed AS (SELECT source_file_id, source_row_number, sha256(concat_ws(chr(31), COALESCE(Invoice, '\\N'), COALESCE(StockCode, '\\N'), COALESCE(Description, '\\N'), COALESCE(Quantity, '\\N'),
-  COALESCE(InvoiceDate, '\\N'), COALESCE(Price, '\\N'), COALESCE("Customer ID", '\\N'), COALESCE(Country, '\\N'))) AS h FROM workbook)
-SELECT source_file_id, sha256(string_agg(h, '' ORDER BY source_row_number, h)) AS fingerprint FROM hashed GROUP BY 1""")
+_JSON_CELL = f"""CASE WHEN v IS NULL THEN 'null' ELSE array_to_string(list_transform(string_split(CAST(to_json(trim(v, {_BLANKS})) AS VARCHAR), ''),
+  lambda c: CASE WHEN ord(c) > 126 THEN format('\\u{{:04x}}', ord(c)) ELSE c END), '') END"""
+
+
+@query(f"""WITH lines AS (SELECT source_file_id, source_row_number, '[' || array_to_string(list_transform([Invoice, StockCode, Description, Quantity, InvoiceDate, Price, "Customer ID", Country], lambda v: {_JSON_CELL}), ',') || ']' AS line FROM workbook)
+SELECT source_file_id, sha256('{{"columns":["Invoice","StockCode","Description","Quantity","InvoiceDate","Price","Customer ID","Country"],"rows":[' || string_agg(line, ',' ORDER BY source_row_number, line) || ']}}') AS fingerprint FROM lines GROUP BY 1""")
 def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 of each sheet's header and normalised cells as compact JSON."""
+    return rel.content_fingerprints(table(spark, sf_dir, "workbook"), "source_file_id", "source_row_number", _BUSINESS)
+
+
+@query(f"""WITH hashed AS (SELECT source_file_id, source_row_number, sha256(concat_ws(chr(31), COALESCE(Invoice, '\\N'), COALESCE(StockCode, '\\N'), COALESCE(Description, '\\N'), COALESCE(Quantity, '\\N'),
+  COALESCE(InvoiceDate, '\\N'), COALESCE(Price, '\\N'), COALESCE("Customer ID", '\\N'), COALESCE(Country, '\\N'))) AS h FROM workbook),
+stretches AS (SELECT source_file_id, source_row_number // {rel.SEAL_ROWS} AS stretch, sha256(string_agg(h, '' ORDER BY source_row_number, h)) AS h FROM hashed GROUP BY 1, 2)
+SELECT source_file_id, sha256(string_agg(h, '' ORDER BY stretch)) AS seal FROM stretches GROUP BY 1""")
+def row_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.sealed(table(spark, sf_dir, "workbook"), "source_file_id", "source_row_number", _BUSINESS)
 
 
+@query("""SELECT source_file_id, sha256('{"country":' || COALESCE(to_json(country), 'null') || ',"profile_sha256":' || to_json(profile_sha256) || ',"row_count":' || row_count || ',"source_file_id":' || to_json(source_file_id) || '}') AS record_hash FROM manifest_entry""")
+def record_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seal of each manifest record over its canonical JSON."""
+    return table(spark, sf_dir, "manifest_entry").select("source_file_id", repair.record_hash("source_file_id", "row_count", "profile_sha256", "country").alias("record_hash"))
+
+
 @query("""WITH ranked AS (SELECT intake_id, file_hash, content_fingerprint, ROW_NUMBER() OVER (PARTITION BY file_hash ORDER BY received_at, intake_id) AS a, ROW_NUMBER() OVER (PARTITION BY content_fingerprint ORDER BY received_at, intake_id) AS b FROM intake_result)
 SELECT intake_id, CASE WHEN file_hash IS NOT NULL AND a > 1 THEN 'duplicate_file_hash' ELSE 'duplicate_content_fingerprint' END AS code FROM ranked
 WHERE (file_hash IS NOT NULL AND a > 1) OR (content_fingerprint IS NOT NULL AND b > 1)""")
@@ -465,12 +494,57 @@ def repeated_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.repeated_keys(table(spark, sf_dir, "intake_result"), ["file_hash"])
 
 
-@query("""SELECT m.source_file_id FROM manifest_entry m LEFT JOIN (SELECT DISTINCT source_file_id FROM silver) s USING (source_file_id) WHERE s.source_file_id IS NULL
-UNION ALL SELECT DISTINCT s.source_file_id FROM silver s LEFT JOIN manifest_entry m USING (source_file_id) WHERE m.source_file_id IS NULL""")
+@query(_PLANTED + """SELECT m.source_file_id, 'no_facts' AS fault FROM published m LEFT JOIN (SELECT DISTINCT source_file_id FROM kept) s USING (source_file_id) WHERE s.source_file_id IS NULL
+UNION ALL SELECT DISTINCT s.source_file_id, 'no_entry' FROM kept s LEFT JOIN published m USING (source_file_id) WHERE m.source_file_id IS NULL""")
 def reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files on one side of manifest and facts only; none in sound data."""
-    entries, facts = table(spark, sf_dir, "manifest_entry").select("source_file_id"), table(spark, sf_dir, "silver").select("source_file_id").distinct()
-    return entries.join(facts, "source_file_id", "left_anti").unionByName(facts.join(entries, "source_file_id", "left_anti"))
+    """Files on one side of manifest and facts only, over planted faults on both sides."""
+    manifest, rows = _planted(spark, sf_dir)
+    sides = rel.coverage(manifest, rows, [], "source_file_id")
+    return sides.select("source_file_id", F.when(F.col("side") == "missing", "no_facts").otherwise("no_entry").alias("fault"))
+
+
+@query("""WITH heads AS (SELECT DISTINCT intake_id, regexp_replace(lower(COALESCE(h, '')), '[^a-z0-9]', '', 'g') AS name FROM (SELECT intake_id, UNNEST(observed_schema) AS h FROM intake_result))
+SELECT intake_id, alias_name, field_name FROM heads JOIN header_alias ON name = alias_name""")
+def header_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry's entries that each arrival's headers name."""
+    arrivals = table(spark, sf_dir, "intake_result").select("intake_id", F.transform("observed_schema", reduced).alias("names"))
+    return rel.registry_matches(arrivals, ["intake_id"], "names", table(spark, sf_dir, "header_alias"), "alias_name")
+
+
+@query("""WITH wanted AS (SELECT DISTINCT intake_id, regexp_replace(lower(COALESCE(h, '')), '[^a-z0-9]', '', 'g') AS name FROM (SELECT intake_id, UNNEST(observed_schema) AS h FROM intake_result WHERE intake_id IN (SELECT intake_id FROM raw_record))),
+given AS (SELECT DISTINCT intake_id, field_name AS name FROM (SELECT intake_id, regexp_replace(lower(UNNEST(json_keys(payload))), '[^a-z0-9]', '', 'g') AS key FROM raw_record) JOIN header_alias ON alias_name = key)
+SELECT COALESCE(w.intake_id, g.intake_id) AS intake_id, COALESCE(w.name, g.name) AS name, CASE WHEN g.name IS NULL THEN 'missing' ELSE 'unexpected' END AS side
+FROM wanted w FULL JOIN given g ON w.intake_id = g.intake_id AND w.name = g.name WHERE g.name IS NULL OR w.name IS NULL""")
+def schema_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of an arrival against the registry's fields of its records, both ways."""
+    records = table(spark, sf_dir, "raw_record")
+    keys = records.select("intake_id", F.explode(F.json_object_keys("payload")).alias("key"))
+    given = keys.join(table(spark, sf_dir, "header_alias"), reduced(F.col("key")) == F.col("alias_name")).select("intake_id", F.col("field_name").alias("name"))
+    heads = table(spark, sf_dir, "intake_result").join(records.select("intake_id").distinct(), "intake_id", "left_semi").select("intake_id", F.explode("observed_schema").alias("h"))
+    return rel.coverage(heads.select("intake_id", reduced(F.col("h")).alias("name")), given, ["intake_id"], "name")
+
+
+@query(r"""WITH answers AS (SELECT DISTINCT reporting_month, COALESCE(NULLIF(trim(regexp_replace(lower(trim(country)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS stem, source_file_id FROM manifest_entry),
+asked AS (SELECT intake_id, reporting_month, COALESCE(NULLIF(trim(regexp_replace(lower(trim(country)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS stem, file_hash FROM intake_result)
+SELECT intake_id, source_file_id, file_hash IS NOT DISTINCT FROM source_file_id AS agrees FROM asked JOIN answers USING (reporting_month, stem)""")
+def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals with the published files of the same month and country stem, and whether they are the same file."""
+    stem = text.slug(F.col("country")).alias("stem")
+    answers = table(spark, sf_dir, "manifest_entry").select("reporting_month", stem, "source_file_id").distinct()
+    asked = table(spark, sf_dir, "intake_result").select("intake_id", "reporting_month", stem, "file_hash")
+    return asked.join(answers, ["reporting_month", "stem"]).select("intake_id", "source_file_id", F.col("file_hash").eqNullSafe(F.col("source_file_id")).alias("agrees"))
+
+
+@query(r"""WITH numbered AS (SELECT source_file_id, source_row_number, COUNT(*) AS times, DENSE_RANK() OVER (PARTITION BY source_file_id ORDER BY source_row_number) AS k FROM silver GROUP BY 1, 2),
+checked AS (SELECT s.*, times, k, TRY_CAST(CASE WHEN regexp_matches(transaction_timestamp, '^\s*\d{4}-?\d{2}-?\d{2}($|[Tt\s])') THEN regexp_replace(transaction_timestamp, '^\s*(\d{4})-?(\d{2})-?(\d{2}).*$', '\1-\2-\3') END AS DATE) AS day
+  FROM silver s JOIN numbered n ON s.source_file_id = n.source_file_id AND s.source_row_number = n.source_row_number)
+SELECT source_file_id, fault, COUNT(*) AS n_rows FROM (SELECT source_file_id, CASE WHEN COALESCE(invoice_id, '') = '' THEN 'invalid_invoice_id' WHEN COALESCE(product_id, '') = '' THEN 'invalid_product_id' WHEN COALESCE(country, '') = '' THEN 'invalid_country'
+  WHEN quantity IS NULL THEN 'invalid_quantity' WHEN unit_price IS NULL OR NOT regexp_full_match(trim(unit_price), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?') THEN 'invalid_unit_price'
+  WHEN day IS NULL THEN 'invalid_transaction_timestamp' WHEN source_row_number < 2 THEN 'invalid_lineage_row' WHEN k + 1 <> source_row_number OR times > 1 THEN 'lineage_row_mismatch' END AS fault FROM checked) GROUP BY 1, 2""")
+def row_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that each canonical row breaks, counted per file; null is sound."""
+    checked = bronze.row_faults(table(spark, sf_dir, "silver"), dense=True)
+    return checked.groupBy("source_file_id", "fault").agg(F.count("*").alias("n_rows"))
 
 
 @query("""SELECT decision, COUNT(*) AS n, CASE WHEN COUNT(*) = 0 THEN 0 ELSE ROUND(CAST(COUNT(*) FILTER (WHERE len(reason_codes) > 0) AS DOUBLE) / COUNT(*), 6) END AS share_with_reasons FROM intake_result GROUP BY 1""")
@@ -494,14 +568,68 @@ def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("source_file_id", "source_row_number", "invoice_id", "unit_price", "quantity")
 
 
-@query()
+_CHOSEN = """WITH keys AS (SELECT DISTINCT source_file_id, source_row_number FROM workbook),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_file_id ORDER BY md5('42:' || source_file_id || ':' || source_row_number), source_row_number) AS k, COUNT(*) OVER (PARTITION BY source_file_id) AS n, MAX(source_row_number) OVER (PARTITION BY source_file_id) AS top FROM keys) """
+
+
+@query(_CHOSEN + """SELECT source_file_id, source_row_number, Invoice, StockCode FROM workbook
+UNION ALL SELECT w.source_file_id, CAST(top + k AS INT), Invoice, StockCode FROM workbook w JOIN ranked r ON w.source_file_id = r.source_file_id AND w.source_row_number = r.source_row_number WHERE k <= CEIL(n * 0.15)""")
 def corrupted_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw rows as one sheet with a seeded sixth of its rows repeated."""
-    from millrace.operators.relational import keep_first
+    """All sheets, each with a seeded share of its rows repeated at its end."""
+    return simulate.corrupt(table(spark, sf_dir, "workbook"), "duplicate_rows", 42).select("source_file_id", "source_row_number", "Invoice", "StockCode")
+
 
-    rows = keep_first(table(spark, sf_dir, "workbook"), ["source_file_id", "source_row_number"], ["Invoice", "StockCode"])
-    numbered = rows.withColumn("source_row_number", F.xxhash64("source_file_id", "source_row_number"))
-    return simulate.corrupt(numbered, "duplicate_rows", 42).select("source_file_id", "Invoice", "StockCode")
+@query(_CHOSEN + """SELECT source_file_id, source_row_number, Invoice FROM workbook JOIN ranked USING (source_file_id, source_row_number) WHERE k <= LEAST(n - 1, GREATEST(1, n // 10))""")
+def incomplete_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded tenth of each sheet."""
+    return simulate.corrupt(table(spark, sf_dir, "workbook"), "incomplete_file", 42).select("source_file_id", "source_row_number", "Invoice")
+
+
+@query("""WITH known AS (SELECT DISTINCT source_file_id, source_row_number FROM workbook WHERE "Customer ID" IS NOT NULL),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_file_id ORDER BY md5('42:' || source_file_id || ':' || source_row_number), source_row_number) AS k, COUNT(*) OVER (PARTITION BY source_file_id) AS n FROM known)
+SELECT w.source_file_id, w.source_row_number, CASE WHEN k <= CEIL(n * 0.5) THEN NULL ELSE w."Customer ID" END AS customer FROM workbook w LEFT JOIN ranked r ON w.source_file_id = r.source_file_id AND w.source_row_number = r.source_row_number""")
+def emptied_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sheets, each with a seeded half of its customers emptied."""
+    return simulate.corrupt(table(spark, sf_dir, "workbook"), "missing_customer_ids", 42).select("source_file_id", "source_row_number", F.col("Customer ID").alias("customer"))
+
+
+@query("""SELECT DISTINCT source_file_id, COALESCE(NULLIF(Country, ''), 'Unknown') AS Country, 'GBP' AS Currency, 42 AS Seed FROM workbook w
+WHERE Country IS NOT NULL OR NOT EXISTS (SELECT 1 FROM workbook o WHERE o.source_file_id = w.source_file_id AND o.Country IS NOT NULL)""")
+def lookup_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.lookup_sheet(table(spark, sf_dir, "workbook"), 42)
+
+
+_SHEETS = r"""WITH dated AS (SELECT *, strftime(TRY_CAST(CASE WHEN regexp_matches(transaction_timestamp, '^\s*\d{4}-?\d{2}-?\d{2}($|[Tt\s])')
+  THEN regexp_replace(transaction_timestamp, '^\s*(\d{4})-?(\d{2})-?(\d{2}).*$', '\1-\2-\3') END AS DATE), '%Y-%m') AS month,
+  COALESCE(NULLIF(trim(regexp_replace(lower(trim(country)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') AS slug FROM silver) """
+
+
+@query(_SHEETS + """SELECT month || '/' || slug || '_' || month || '.xlsx' AS file, COUNT(*) AS n_rows, COUNT(quantity) AS n_quantities, CAST(SUM(quantity) AS BIGINT) AS units FROM dated WHERE month IS NOT NULL AND country IS NOT NULL GROUP BY 1""")
+def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook per month and country is written to the shared folder and its cells are read again."""
+    folder = f"{shared_dir(spark)}/millrace-books-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "silver").withColumn("reporting_month", written_month("transaction_timestamp")).dropna(subset=["country", "reporting_month"])
+    rows = rows.select("country", "reporting_month", "source_file_id", "source_row_number", "product_id", "quantity")
+    written = xlsx.write_workbooks(rows, folder, ["country", "reporting_month"], ["source_file_id", "source_row_number", "product_id", "quantity"], ["source_file_id", "source_row_number"])
+    cut(written)
+    cells = xlsx.read_cells(spark, folder, "Transactions").select(F.regexp_extract("file", "([^/]*/[^/]*)$", 1).alias("file"), "row_number", "header", "raw")
+    number = F.when(F.col("header") == "quantity", F.col("raw")).cast("bigint")
+    read = cells.groupBy("file").agg(F.count_if(F.col("header") == "source_row_number").alias("n_rows"), F.count(number).alias("n_quantities"), F.sum(number).alias("units"))
+    return cut(read)
+
+
+@query("""SELECT source_file_id, COUNT(*) AS n_rows, CAST(SUM(quantity) AS BIGINT) AS units FROM (
+SELECT source_file_id, quantity FROM silver WHERE left(source_file_id, 1) > '3' UNION ALL SELECT source_file_id, quantity + 1 FROM silver WHERE left(source_file_id, 1) <= '3') GROUP BY 1""")
+def snapshot_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact store is filled, then the rows of some files are replaced; only their buckets are written."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/millrace-facts-{uuid.uuid4().hex}")
+    silver = table(spark, sf_dir, "silver").select("source_file_id", "source_row_number", "quantity")
+    first = F.left("source_file_id", F.lit(1))
+    store.swap(lambda now: silver.where(first >= "3"))  # noqa: ARG005
+    store.replace(silver.where(first <= "3").withColumn("quantity", F.col("quantity") + 1), "source_file_id")
+    done = cut(store.current().groupBy("source_file_id").agg(F.count("*").alias("n_rows"), F.sum("quantity").alias("units")))
+    store.folder.remove()
+    return done
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
