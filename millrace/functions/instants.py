@@ -171,8 +171,11 @@ def to_instants(read: DataFrame, zone_column: str, month_first_column: str, mont
         .when(p("zone").isNotNull(), F.col("_local") - F.col("_offset").cast("bigint") * 60 * _US)
         .otherwise(F.col("_site"))
     )
-    later = back(F.col("_site") + 3600 * _US)
-    case = F.when(back(F.col("_site")) != F.col("_local"), "skipped").when(later == F.col("_local"), "repeated").otherwise("plain")
+    # the offset of a day later gives the other instant of a time that comes twice, however long the overlap is
+    next_day = F.col("_site") + 86400 * _US
+    later = F.col("_local") - (back(next_day) - next_day)
+    twice = (later > F.col("_site")) & (back(later) == F.col("_local"))
+    case = F.when(back(F.col("_site")) != F.col("_local"), "skipped").when(twice, "repeated").otherwise("plain")
     done = _once(placed, "utc_micros", instant)
     known = F.when(F.col("_site").isNotNull(), case).otherwise("plain")
     done = done.withColumn("clock_case", F.when(F.col("utc_micros").isNotNull(), known))

@@ -25,6 +25,28 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return sums.where(F.col("n_left") != F.col("n_right"))
 
 
+def with_lineage(sources: list[tuple[str, DataFrame]], columns: list[str]) -> DataFrame:
+    """The ``columns`` of all sources, by name, with the ``source`` of each row."""
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("source"), *columns) for name, df in sources))
+
+
+def manifest_entries(entries: DataFrame, manifest_path: str, required: list[str], paths: list[str]) -> DataFrame:
+    """The ``required`` fields of manifest entries, ``paths`` among them resolved against the manifest's folder.
+
+    A missing column is an error at once, a null or empty required field stops the job when it is read.
+    """
+    if missing := set(required) - set(entries.columns):
+        raise ValueError(f"no such fields: {sorted(missing)}")
+    folder = manifest_path.rsplit("/", 1)[0] if "/" in manifest_path else "."
+
+    def field(name: str) -> Column:
+        there = F.coalesce(F.col(name).cast("string") != "", F.lit(False))
+        value = F.when(F.col(name).rlike(r"^(/|[a-zA-Z][a-zA-Z0-9+.-]*:)"), F.col(name)).otherwise(F.concat(F.lit(f"{folder}/"), F.col(name))) if name in paths else F.col(name)
+        return F.when(there, value).otherwise(F.raise_error(F.lit(f"entry without {name}"))).alias(name)
+
+    return entries.select(*map(field, required))
+
+
 def keep_first(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """The first row, in ``order``, of each group of rows equal in ``columns`` (nulls equal); it keeps its lineage.
 

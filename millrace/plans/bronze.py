@@ -39,6 +39,12 @@ def canonical_rows(workbook: DataFrame) -> DataFrame:
     return typed.withColumn("reason_codes", codes)
 
 
+def with_month_and_revenue(rows: DataFrame) -> DataFrame:
+    """Canonical rows with ``reporting_month`` and the exact ``line_revenue``, null where a part is none."""
+    revenue = F.col("quantity").try_cast("int") * F.col("unit_price").try_cast("decimal(27,16)")
+    return rows.withColumns({"reporting_month": F.date_format("transaction_timestamp", "yyyy-MM"), "line_revenue": revenue})
+
+
 #: Longest example of a text that does not parse.
 EXAMPLE_CHARS = 100
 

@@ -450,11 +450,27 @@ def report_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("year", "metric", F.col("value").alias("current_value"), "baseline_value", (F.col("value") - F.col("baseline_value")).alias("delta"))
 
 
-@query("""SELECT 'workbook' AS source, COUNT(*) AS n_rows FROM workbook UNION ALL SELECT 'silver', COUNT(*) FROM silver""")
+@query("""SELECT source, source_file_id, COUNT(*) AS n_rows, MIN(source_row_number) AS first_row, MAX(source_row_number) AS last_row FROM (
+SELECT 'workbook' AS source, source_file_id, source_row_number FROM workbook UNION ALL SELECT 'silver', source_file_id, source_row_number FROM silver) GROUP BY 1, 2""")
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = ["source_file_id", "source_row_number"]
-    both = table(spark, sf_dir, "workbook").select(F.lit("workbook").alias("source"), *key).unionByName(table(spark, sf_dir, "silver").select(F.lit("silver").alias("source"), *key))
-    return both.groupBy("source").agg(F.count("*").alias("n_rows"))
+    """Both sources as one with the lineage of each row, counted per source and file."""
+    named = [(name, table(spark, sf_dir, name)) for name in ("workbook", "silver")]
+    both = rel.with_lineage(named, ["source_file_id", "source_row_number"])
+    return both.groupBy("source", "source_file_id").agg(F.count("*").alias("n_rows"), F.min("source_row_number").alias("first_row"), F.max("source_row_number").alias("last_row"))
+
+
+@query(_CANONICAL + """SELECT source_file_id, source_row_number, strftime(transaction_timestamp, '%Y-%m') AS reporting_month, CAST(quantity * unit_price AS DECIMAL(38,16)) AS line_revenue FROM canonical""")
+def normalised_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month and revenue of each canonical row, null where a part of it is none."""
+    return bronze.with_month_and_revenue(bronze.canonical_rows(table(spark, sf_dir, "workbook"))).select("source_file_id", "source_row_number", "reporting_month", "line_revenue")
+
+
+@query("""SELECT source_file_id, '/data/publish/' || canonical_path AS canonical_path, CASE WHEN left(source_file_id, 1) < '8' THEN '/elsewhere/' || profile_path ELSE '/data/publish/' || profile_path END AS profile_path FROM manifest_entry""")
+def manifest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest entries with their paths resolved against the manifest's folder; absolute ones stay."""
+    entries = table(spark, sf_dir, "manifest_entry")
+    mixed = entries.withColumn("profile_path", F.when(F.left("source_file_id", F.lit(1)) < "8", F.concat(F.lit("/elsewhere/"), "profile_path")).otherwise(F.col("profile_path")))
+    return rel.manifest_entries(mixed, "/data/publish/publish-manifest.json", ["source_file_id", "canonical_path", "profile_path"], ["canonical_path", "profile_path"])
 
 
 _JSON_CELL = f"""CASE WHEN v IS NULL THEN 'null' ELSE array_to_string(list_transform(string_split(CAST(to_json(trim(v, {_BLANKS})) AS VARCHAR), ''),

@@ -110,3 +110,11 @@ def test_days_agree_with_the_calendar(spark):
 def test_empty(spark, zones):
     df = spark.createDataFrame([], "source_file_id string, written string, site_zone string, file_hash string")
     assert instants.normalise(df, "written", "source_file_id", zones).count() == 0
+
+
+def test_overlaps_of_half_an_hour(spark):
+    zone = "Australia/Lord_Howe"
+    df = spark.createDataFrame([("f", "2024-04-07T01:45:00"), ("f", "2024-04-07T01:15:00"), ("f", "2024-10-06T02:15:00"), ("f", "2024-04-07T03:00:00")], "source_file_id string, written string")
+    got = {r.written[5:16]: (r.utc_micros, r.clock_case) for r in instants.normalise(df, "written", "source_file_id", spark.createDataFrame([("f", zone)], "file_hash string, site_zone string")).collect()}
+    assert got["04-07T01:45"] == (micros(2024, 4, 6, 14, 45), "repeated")
+    assert got["04-07T01:15"][1] == got["04-07T03:00"][1] == "plain" and got["10-06T02:15"] == (micros(2024, 10, 5, 15, 45), "skipped")

@@ -129,3 +129,43 @@ def test_months_of_both_iso_forms(spark, tmp_path, name):
     spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "silver.parquet"))
     got = queries_tables.QUERIES[name](spark, str(tmp_path)).collect()
     assert {(r["month" if "overlap" in name else "reporting_month"], r.n_rows) for r in got} == {("2024-03", 80), ("2024-02", 40)}
+
+
+def test_manifest_entries_need_their_fields(spark):
+    df = spark.createDataFrame([("f", "a/b.jsonl"), ("g", "/x/y.jsonl"), ("h", "hdfs://n/z")], "source_file_id string, canonical_path string")
+    read = rel.manifest_entries(df, "/data/m.json", ["source_file_id", "canonical_path"], ["canonical_path"])
+    assert [r.canonical_path for r in read.collect()] == ["/data/a/b.jsonl", "/x/y.jsonl", "hdfs://n/z"]
+    with pytest.raises(ValueError, match="no such"):
+        rel.manifest_entries(df, "m.json", ["nope"], [])
+    with pytest.raises(Exception, match="entry without canonical_path"):
+        rel.manifest_entries(df.withColumn("canonical_path", F.lit("")), "m.json", ["canonical_path"], ["canonical_path"]).collect()
+
+
+def test_row_faults_name_the_first_rule(spark):
+    good = ("1", "p", "UK", 2, "1.5", "2024-01-02", "f", 2)
+    rows = [good, ("", *good[1:7], 3), (good[0], None, *good[2:7], 4), (*good[:3], None, *good[4:7], 5), (*good[:4], "inf", *good[5:7], 6), (*good[:5], "2024-02-30", "f", 7), (*good[:7], 1), (*good[:6], "f", 9), (*good[:6], "g", 8)]
+    df = spark.createDataFrame(rows, "invoice_id string, product_id string, country string, quantity int, unit_price string, transaction_timestamp string, source_file_id string, source_row_number int")
+    plain = [r.fault for r in bronze.row_faults(df, F.lit("f")).collect()]
+    assert plain == [None, "invalid_invoice_id", "invalid_product_id", "invalid_quantity", "invalid_unit_price", "invalid_transaction_timestamp", "invalid_lineage_row", None, "lineage_file_mismatch"]
+    dense = {r.source_row_number: r.fault for r in bronze.row_faults(df.where("source_file_id = 'f' and source_row_number > 1"), dense=True).collect()}
+    assert dense[2] is None and dense[9] == "lineage_row_mismatch"
+
+
+def test_fingerprint_is_the_hash_of_compact_json(spark):
+    import hashlib
+    import json
+
+    rows = [("f", 3, " a ", None, 2.0), ("f", 2, "é\n", "x", 2.5), ("g", 2, None, None, None)]
+    df = spark.createDataFrame(rows, "file string, row int, A string, `B ` string, C double")
+    want = {"f": [["\u00e9", "x", "2.5"], ["a", None, "2"]], "g": [[None, None, None]]}
+    got = {r.file: r.fingerprint for r in rel.content_fingerprints(df.repartition(3), "file", "row", ["A", "B ", "C"]).collect()}
+    for file, lines in want.items():
+        text = json.dumps({"columns": ["A", "B", "C"], "rows": lines}, separators=(",", ":"))
+        assert got[file] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_seals_of_large_groups_change_with_any_row(spark):
+    df = spark.range(25_000).select(F.lit("g").alias("g"), F.col("id").cast("int").alias("k"), F.col("id").cast("string").alias("v"))
+    one = rel.sealed(df, "g", "k", ["v"]).first().seal
+    assert one == rel.sealed(df.repartition(7), "g", "k", ["v"]).first().seal
+    assert one != rel.sealed(df.withColumn("v", F.when(F.col("k") == 24_999, "x").otherwise(F.col("v"))), "g", "k", ["v"]).first().seal
