@@ -131,8 +131,11 @@ class TreeEncoder:
 
 
 def encoder(vocabulary: str | None = None, pattern: str | None = None, leaf_chars: int = LEAF_CHARS) -> TreeEncoder:
-    path, default = default_vocabulary() if vocabulary is None else (vocabulary, pattern)
-    return TreeEncoder(path, pattern or default, leaf_chars)
+    """The encoder of a vocabulary.  ``AHEAD`` is proven for the installed tokenizers' pattern only, so any other is refused."""
+    path, proven = default_vocabulary()
+    if pattern not in (None, proven):
+        raise ValueError("joins are not proven to be stable for this pattern")
+    return TreeEncoder(vocabulary or path, proven, leaf_chars)
 
 
 def encode_documents(

@@ -57,3 +57,10 @@ def test_round_trip_on_the_corpus(spark, sf_dir):
     joined = docs.select("doc_id", "text").join(back, "doc_id")
     assert joined.count() == docs.count()
     assert joined.where("coalesce(text, '') != again").count() == 0
+
+
+def test_other_patterns_are_refused():
+    path, pattern = encoding.default_vocabulary()
+    assert encoding.encoder(path, pattern).encode("a b").tolist() == encoding.encoder().encode("a b").tolist()
+    with pytest.raises(ValueError, match="not proven"):
+        encoding.encoder(path, r"\S+|\s+")
