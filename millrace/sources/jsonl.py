@@ -56,10 +56,14 @@ def require_sound(rows: DataFrame) -> DataFrame:
     return rows.withColumn("source_file_id", sound).drop("line", "fault")
 
 
+PART_ROWS = 100_000
+
+
 def write_rows(rows: DataFrame, path: str) -> None:
-    """JSON lines in a folder per source file; only folders of files at hand are replaced."""
-    full = rows.select(F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}).alias("value"), "source_file_id")
-    full.repartition("source_file_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_id").text(path)
+    """JSON lines in a folder per source file, ``PART_ROWS`` row numbers a part; only folders of files at hand are replaced."""
+    part = F.floor(F.col("source_row_number") / PART_ROWS)
+    full = rows.repartition("source_file_id", part).select(F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}).alias("value"), "source_file_id")
+    full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file_id").text(path)
 
 
 class SnapshotStore:
