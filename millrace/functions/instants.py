@@ -75,34 +75,48 @@ def _days(year: Column, month: Column, day: Column) -> Column:
     return F.when((year >= 1) & month.between(1, 12) & (day >= 1) & (day <= longest), since)
 
 
-def _split(text: Column) -> Column:
-    """The form's name and its parts as one text, joined by bars: name first, then the order of ``_FIELDS``."""
+def _anchored(form: Form) -> str:
+    flags = "(?i)" if form.pattern.startswith("(?i)") else ""
+    return f"{flags}^{form.pattern.removeprefix('(?i)')}$"
+
+
+def _form_of(text: Column) -> Column:
+    """The name of the first form that matches, or null."""
+    out = None
+    for name, pattern in [*((f.name, _anchored(f)) for f in FORMS), *NUMBER_FORMS.items()]:
+        hit = text.rlike(pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
+
+
+def _parts_of(form: Column, text: Column) -> Column:
+    """The parts of a text of a known form as one text, joined by bars, in the order of ``_FIELDS``."""
     out = None
     for f in FORMS:
-        flags = "(?i)" if f.pattern.startswith("(?i)") else ""
-        pattern = f"{flags}^{f.pattern.removeprefix('(?i)')}$"
-        groups = "|".join([f.name, *(f"${getattr(f, x)}" if getattr(f, x) else "" for x in _FIELDS)])
-        hit, taken = text.rlike(pattern), F.regexp_replace(text, pattern, groups)
-        out = F.when(hit, taken) if out is None else out.when(hit, taken)
-    for name, pattern in NUMBER_FORMS.items():
-        out = out.when(text.rlike(pattern), F.lit(name + "|" * len(_FIELDS)))
+        groups = "|".join(f"${getattr(f, x)}" if getattr(f, x) else "" for x in _FIELDS)
+        taken = F.regexp_replace(text, _anchored(f), groups)
+        out = F.when(form == f.name, taken) if out is None else out.when(form == f.name, taken)
     return out
 
 
 def read_forms(df: DataFrame, column: str) -> DataFrame:
-    """Add ``_form`` (the first form that matches, or null) and ``_p``, the struct of its parts."""
-    split = df.withColumn("_text", _bare(column))
-    split = _once(split, "_parts", F.split(_split(F.col("_text")), r"\|"))
-    item = lambda k: F.nullif(F.col("_parts")[k + 1], F.lit(""))
+    """Add ``_form`` (the first form that matches, or null) and ``_p``, the struct of its parts.
+
+    Each step is an operator of its own: one that held them all would make a method too large for
+    the machine to compile.
+    """
+    split = _once(df.withColumn("_text", _bare(column)), "_form", _form_of(F.col("_text")))
+    split = _once(split, "_parts", F.split(_parts_of(F.col("_form"), F.col("_text")), r"\|"))
+    item = lambda k: F.nullif(F.col("_parts")[k], F.lit(""))
     number = lambda k: item(k).try_cast("int")
     month = F.coalesce(number(1), F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.left(item(1), F.lit(3)))).cast("int"), F.lit(0)))
-    return split.withColumn(
-        "_p",
-        F.struct(
-            number(0).alias("year"), month.alias("month"), number(2).alias("day"), number(3).alias("hour"), number(4).alias("minute"),
-            number(5).alias("second"), item(6).alias("fraction"), F.lower(item(7)).alias("half"), F.upper(item(8)).alias("zone"),
-        ),
-    ).withColumn("_form", F.col("_parts")[0]).drop("_parts")
+    split = _once(split, "_month", month)
+    month = F.col("_month")
+    parts = F.struct(
+        number(0).alias("year"), month.alias("month"), number(2).alias("day"), number(3).alias("hour"), number(4).alias("minute"),
+        number(5).alias("second"), item(6).alias("fraction"), F.lower(item(7)).alias("half"), F.upper(item(8)).alias("zone"),
+    )
+    return _once(split, "_p", parts).drop("_parts", "_month")
 
 
 def slash_orders(read: DataFrame, file_column: str) -> DataFrame:
@@ -149,22 +163,25 @@ def to_instants(read: DataFrame, zone_column: str, month_first_column: str, mont
     p = lambda name: F.col(f"_p.{name}")
     swap = (F.col("_form") == "slash") & F.coalesce(F.col(month_first_column), F.lit(month_first_default))
     day, month = F.when(swap, p("month")).otherwise(p("day")), F.when(swap, p("day")).otherwise(p("month"))
-    days = _days(p("year"), month, day)
+    placed = _once(read, "_date", F.struct(p("year").alias("y"), month.alias("m"), day.alias("d")))
+    placed = _once(placed, "_days", _days(F.col("_date.y"), F.col("_date.m"), F.col("_date.d")))
     half_hour = F.when(p("hour").between(1, 12), p("hour") % 12 + F.when(p("half") == "p", 12).otherwise(0))
     hour = F.when(p("half").isNotNull(), half_hour).otherwise(F.coalesce(p("hour"), F.lit(0)))
-    minute, second = F.coalesce(p("minute"), F.lit(0)), F.coalesce(p("second"), F.lit(0))
+    clock = F.struct(hour.alias("h"), F.coalesce(p("minute"), F.lit(0)).alias("m"), F.coalesce(p("second"), F.lit(0)).alias("s"))
+    placed = _once(placed, "_clock", clock)
+    t = lambda name: F.col(f"_clock.{name}")
     fraction = F.rpad(F.left(F.coalesce(p("fraction"), F.lit("")), F.lit(6)), 6, "0").try_cast("bigint")
-    sound = (hour <= 23) & (minute <= 59) & (second <= 59)
-    seconds = days.cast("bigint") * 86400 + hour * 3600 + minute * 60 + second
+    sound = (t("h") <= 23) & (t("m") <= 59) & (t("s") <= 59)
+    seconds = F.col("_days").cast("bigint") * 86400 + t("h") * 3600 + t("m") * 60 + t("s")
     written = F.when(sound, seconds * _US + fraction)
     sheet = F.round(F.when(F.col("_form") == "sheet_days", F.col("_text")).try_cast("decimal(38,18)") * 86400, 0).cast("bigint") - 25569 * 86400
     count = F.when(F.col("_form").isin("unix_seconds", "unix_millis"), F.col("_text")).try_cast("bigint")
-    placed = read.withColumn("_local", F.when(F.col("_form") == "sheet_days", sheet * _US).otherwise(written))
-    offset = F.when(p("zone").isNotNull(), _offset_minutes(p("zone")))
-    placed = placed.withColumns({"_offset": offset, "_zone": F.when(p("zone").isNull() & F.col("_local").isNotNull(), F.col(zone_column))})
+    placed = _once(placed, "_local", F.when(F.col("_form") == "sheet_days", sheet * _US).otherwise(written))
+    placed = _once(placed, "_offset", F.when(p("zone").isNotNull(), _offset_minutes(p("zone"))))
+    placed = placed.withColumn("_zone", F.when(p("zone").isNull() & F.col("_local").isNotNull(), F.col(zone_column)))
     as_zone = lambda micros: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(micros), F.col("_zone")))
     back = lambda micros: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(micros), F.col("_zone")))
-    placed = placed.withColumn("_site", F.when(F.col("_zone").isNotNull(), as_zone(F.col("_local"))))
+    placed = _once(placed, "_site", F.when(F.col("_zone").isNotNull(), as_zone(F.col("_local"))))
     instant = (
         F.when(F.col("_form") == "unix_seconds", count * _US)
         .when(F.col("_form") == "unix_millis", count * 1000)
@@ -179,7 +196,7 @@ def to_instants(read: DataFrame, zone_column: str, month_first_column: str, mont
     done = _once(placed, "utc_micros", instant)
     known = F.when(F.col("_site").isNotNull(), case).otherwise("plain")
     done = done.withColumn("clock_case", F.when(F.col("utc_micros").isNotNull(), known))
-    return done.drop("_local", "_offset", "_zone", "_site")
+    return done.drop("_local", "_offset", "_zone", "_site", "_date", "_days", "_clock")
 
 
 def normalise(df: DataFrame, column: str, file_column: str, zones: DataFrame, month_first_default: bool = False) -> DataFrame:
