@@ -11,6 +11,8 @@ PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 PRICE_TYPE = "decimal(27,16)"
 #: Prices that this type holds without loss.
 EXACT_PRICE = r"^-?0*[0-9]{1,11}(\.[0-9]{1,16}0*)?$"
+#: Plain prices of no more characters are.
+SHORT_PRICE = 11
 
 
 def written_day(column: str) -> Column:
@@ -37,7 +39,7 @@ def daily_sales(silver: DataFrame) -> DataFrame:
     row = silver.select("source_file_id", "source_row_number", "customer_id", "quantity", "unit_price", "transaction_timestamp")
     good = row.where(
         F.col("customer_id").rlike("^[0-9]{6,7}$") & F.col("quantity").isNotNull() & F.col("unit_price").rlike(PLAIN_NUMBER)
-    ).select("source_file_id", "source_row_number", "customer_id", written_day("transaction_timestamp").alias("day"), (F.col("quantity").cast("int") * F.when(F.col("unit_price").rlike(EXACT_PRICE), F.col("unit_price")).try_cast(PRICE_TYPE)).alias("value"))
+    ).select("source_file_id", "source_row_number", "customer_id", written_day("transaction_timestamp").alias("day"), (F.col("quantity").cast("int") * F.when((F.length("unit_price") <= SHORT_PRICE) | F.col("unit_price").rlike(EXACT_PRICE), F.col("unit_price")).try_cast(PRICE_TYPE)).alias("value"))
     once = good.where(F.col("day").isNotNull()).groupBy("source_file_id", "source_row_number").agg(F.min(F.struct("customer_id", "day", "value")).alias("r"))
     return once.select("r.*").groupBy("customer_id", "day").agg(F.sum("value").alias("total"), F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_beyond"))
 
