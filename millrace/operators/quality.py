@@ -27,6 +27,8 @@ RANGE_LIMIT = 10000
 NUMBER_TYPE = "decimal(38,16)"
 #: Numbers that this type holds without loss.
 EXACT_NUMBER = r"^-?0*[0-9]{1,22}(\.[0-9]{1,16}0*)?$"
+#: A plain number of no more characters is exact without a second look.
+SHORT_NUMBER = 17
 GROUP = ["load_id", "column_name"]
 
 
@@ -58,7 +60,7 @@ def _measures(counts: DataFrame) -> DataFrame:
     outside = (F.col("column_name") == "quantity") & (F.abs(F.col("value").try_cast("bigint")) > RANGE_LIMIT)
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
     blank = is_blank(F.col("value"))
-    beyond = F.col("column_name").isin(*NUMERIC) & F.col("value").rlike(PLAIN_NUMBER) & ~F.col("value").rlike(EXACT_NUMBER)
+    beyond = F.col("column_name").isin(*NUMERIC) & (F.length("value") > SHORT_NUMBER) & F.col("value").rlike(PLAIN_NUMBER) & ~F.col("value").rlike(EXACT_NUMBER)
     return counts.groupBy(*GROUP).agg(
         F.sum("n").alias("n_rows"),
         total(blank).alias("n_blank"),
@@ -72,7 +74,8 @@ def _measures(counts: DataFrame) -> DataFrame:
 def _sortable(counts: DataFrame) -> DataFrame:
     """Values with a place in order: numbers of numeric columns (equal numbers once), other texts as written."""
     numeric = F.col("column_name").isin(*NUMERIC)
-    number = F.when(numeric & F.col("value").rlike(EXACT_NUMBER), F.col("value").try_cast(NUMBER_TYPE))
+    exact = F.col("value").rlike(PLAIN_NUMBER) & ((F.length("value") <= SHORT_NUMBER) | F.col("value").rlike(EXACT_NUMBER))
+    number = F.when(numeric & exact, F.col("value").try_cast(NUMBER_TYPE))
     typed = counts.where(~is_blank(F.col("value"))).select(*GROUP, number.alias("number"), F.when(~numeric, F.col("value")).alias("text"), "n")
     return typed.where(F.col("number").isNotNull() | F.col("text").isNotNull()).groupBy(*GROUP, "number", "text").agg(F.sum("n").alias("n"))
 
