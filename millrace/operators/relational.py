@@ -187,13 +187,15 @@ def nearest_rank(df: DataFrame, group: list[str], value: str, percents: list[int
 
     Null values count nowhere; a group of nulls only has n 0 and no percentile.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    ranked = range_prefix_sums(counts, group, [value], {"_upto": "_n"})
-    sizes = df.groupBy(*group).agg(F.count(value).alias("n"))
-    joined = join_null_safe(ranked, sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))  # one row
+    keys = [*group, "_all"]
+    df = df.withColumn("_all", F.lit(0))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranked = range_prefix_sums(counts, keys, [value], {"_upto": "_n"})
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    joined = join_null_safe(ranked, sizes, keys)
     rank = lambda p: F.greatest(F.floor((F.col("n") * p + 99) / 100), F.lit(1))
-    found = joined.groupBy(*group).agg(*(F.min(F.when(F.col("_upto") >= rank(p), F.col(value))).alias(f"p{p}") for p in percents))
-    return join_null_safe(sizes, found, group, "left") if group else sizes.crossJoin(F.broadcast(found))
+    found = joined.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") >= rank(p), F.col(value))).alias(f"p{p}") for p in percents))
+    return join_null_safe(sizes, found, keys, "left").drop("_all")
 
 
 SEAL_ROWS = 10_000

@@ -13,7 +13,7 @@ from millrace.operators.drift import reduced
 from millrace.operators.trailing import written_day, written_month
 from millrace.plans import bronze, marts, repair, simulate
 from millrace.plans.tenant import TenantSession
-from millrace.session import cut, shared_dir, table
+from millrace.session import Folder, cut, shared_dir, table
 from millrace.sources import xlsx
 from millrace.sources.jsonl import SnapshotStore
 
@@ -630,8 +630,9 @@ def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut(written)
     cells = xlsx.read_cells(spark, folder, "Transactions").select(F.regexp_extract("file", "([^/]*/[^/]*)$", 1).alias("file"), "row_number", "header", "raw")
     number = F.when(F.col("header") == "quantity", F.col("raw")).cast("bigint")
-    read = cells.groupBy("file").agg(F.count_if(F.col("header") == "source_row_number").alias("n_rows"), F.count(number).alias("n_quantities"), F.sum(number).alias("units"))
-    return cut(read)
+    read = cut(cells.groupBy("file").agg(F.count_if(F.col("header") == "source_row_number").alias("n_rows"), F.count(number).alias("n_quantities"), F.sum(number).alias("units")))
+    Folder(spark, folder).remove()
+    return read
 
 
 @query("""SELECT source_file_id, COUNT(*) AS n_rows, CAST(SUM(quantity) AS BIGINT) AS units FROM (
