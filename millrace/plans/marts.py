@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import finite_decimal
 from millrace.operators.ordered import join_null_safe
 from millrace.operators.relational import distinct_counts
-from millrace.session import cut, table
+from millrace.session import kept, table
 
 TENANT = "00000000-0000-0000-0000-000000000001"
 
@@ -77,7 +77,7 @@ def _monthly(fact: DataFrame, keys: list[str], sums: list[str], distinct: dict[s
     group = ["client_id", "reporting_month", *keys]
     named = fact.withColumns({"reporting_month": F.date_format("transaction_timestamp", "yyyy-MM"), **{n: measures[n] for n in sums}})
     counted = sorted({c for columns in distinct.values() for c in columns} | set((last or {}).values()))
-    fine = cut(named.groupBy(*group, *counted).agg(*_added(sums)))
+    fine = kept(named.groupBy(*group, *counted).agg(*_added(sums)))
     out = fine.groupBy(*group).agg(*_added(sums))
     for name, columns in distinct.items():
         one = fine.where(F.col(columns[0]).isNotNull()) if len(columns) == 1 else fine
@@ -133,7 +133,7 @@ def file_profile(silver: DataFrame) -> DataFrame:
     Rows are first counted as whole business rows, which every further count reads.
     """
     c = F.col
-    fine = cut(silver.groupBy("source_file_id", *BUSINESS).agg(F.count("*").alias("_times")))
+    fine = kept(silver.groupBy("source_file_id", *BUSINESS).agg(F.count("*").alias("_times")))
     day = F.left("transaction_timestamp", F.lit(10))
     total = lambda when, value=None: F.coalesce(F.sum(F.when(when, c("_times") if value is None else value * c("_times"))), F.lit(0)).cast("bigint")
     money = _money()

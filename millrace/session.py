@@ -66,9 +66,26 @@ def stored(df: DataFrame) -> DataFrame:
         df.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
         return df
     except AnalysisException:
-        path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return kept(df)
+
+
+def _kept_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/millrace-kept-{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder: columns that a reader does not need are not read.
+
+    Tables stay until ``release``, since plans made from them may be run at any time.
+    """
+    path = f"{_kept_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application keeps; plans made from them cannot be run any more."""
+    Folder(spark, _kept_dir(spark)).remove()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

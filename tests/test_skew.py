@@ -69,3 +69,14 @@ def test_prefix_sums_and_neighbours(spark):
     for g, o, _ in sorted(data, key=lambda x: x[1]):
         assert before[g, o] == (len(seen[g]) + 1, seen[g][-1] if seen[g] else None)
         seen[g].append(o)
+
+
+def test_kept_tables_are_released(spark):
+    from millrace import session
+
+    kept = session.kept(spark.range(5))
+    assert kept.count() == 5
+    folder = session.Folder(spark, session._kept_dir(spark))
+    assert folder.names()
+    session.release(spark)
+    assert not folder.exists()
