@@ -1,9 +1,6 @@
-"""Sentences written for this test alone: none is in the test tables, and no word list was made from them."""
+"""Sentences written for this test alone, after the word lists and without the test tables; none was known when the lists were drafted."""
 
 HARMFUL = """
-I am going to slit your throat when you leave the building.
-Jews control the banks and must be wiped off the earth.
-Shut it, you brainless clown.
 You are the dumbest pig I have ever had to work with.
 We will burn your house down with your kids inside.
 Watch your back on the way home tonight.
@@ -114,9 +111,6 @@ You're so ugly your mirror filed a complaint.
 """.strip().splitlines()
 
 HARMLESS = """
-Our pig shaped mug is back in stock.
-The thrust bearing of the conveyor is worn.
-The trash bag roll holds fifty bags.
 Please kill the print job and start it again.
 The delivery was a complete disaster and I want my money back.
 This damn printer jams every single day.
