@@ -622,15 +622,17 @@ _SHEETS = r"""WITH dated AS (SELECT *, strftime(TRY_CAST(CASE WHEN regexp_matche
 
 @query(_SHEETS + """SELECT month || '/' || slug || '_' || month || '.xlsx' AS file, COUNT(*) AS n_rows, COUNT(quantity) AS n_quantities, CAST(SUM(quantity) AS BIGINT) AS units FROM dated WHERE month IS NOT NULL AND country IS NOT NULL GROUP BY 1""")
 def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook per month and country is written to the shared folder and its cells are read again."""
+    """A workbook per month and country, or several where a worksheet is full, is written to the shared folder and its cells are read again."""
     folder = f"{shared_dir(spark)}/millrace-books-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "silver").withColumn("reporting_month", written_month("transaction_timestamp")).dropna(subset=["country", "reporting_month"])
     rows = rows.select("country", "reporting_month", "source_file_id", "source_row_number", "product_id", "quantity")
     written = xlsx.write_workbooks(rows, folder, ["country", "reporting_month"], ["source_file_id", "source_row_number", "product_id", "quantity"], ["source_file_id", "source_row_number"])
     cut(written)
-    cells = xlsx.read_cells(spark, folder, "Transactions").select(F.regexp_extract("file", "([^/]*/[^/]*)$", 1).alias("file"), "row_number", "header", "raw")
+    cells = xlsx.read_cells(spark, folder, "Transactions")
     number = F.when(F.col("header") == "quantity", F.col("raw")).cast("bigint")
-    read = cut(cells.groupBy("file").agg(F.count_if(F.col("header") == "source_row_number").alias("n_rows"), F.count(number).alias("n_quantities"), F.sum(number).alias("units")))
+    books = cells.groupBy("file").agg(F.count_if(F.col("header") == "source_row_number").alias("n_rows"), F.count(number).alias("n_quantities"), F.sum(number).alias("units"))
+    first = F.regexp_replace(F.substring_index("file", "/", -2), r"(_\d{4}-\d{2})_\d+\.xlsx$", "$1.xlsx").alias("file")
+    read = cut(books.groupBy(first).agg(*(F.sum(c).alias(c) for c in ("n_rows", "n_quantities", "units"))))
     Folder(spark, folder).remove()
     return read
 

@@ -77,6 +77,19 @@ def test_workbooks_per_group(spark, tmp_path):
     assert xlsx.read_cells(spark, str(tmp_path)).where("header = 'n'").count() == 6
 
 
+def test_integers_beside_nulls_and_full_worksheets(spark, tmp_path):
+    at = dt.datetime(2024, 1, 2, 3, 4)
+    rows = [("UK", "2024-01", k, None if k % 3 == 0 else 2**53 + k, at) for k in range(10)] + [("uk ", "2024-01", None, 5, None), ("France", "2024-01", 1, None, None)]
+    df = spark.createDataFrame(rows, "country string, month string, row int, n long, at timestamp").repartition(3)
+    written = {r.path.rsplit("/", 1)[1]: r for r in xlsx.write_workbooks(df, str(tmp_path), ["country", "month"], ["row", "n", "at"], ["row"], most=4).collect()}
+    assert {f: r.row_count for f, r in written.items()} == {"uk_2024-01.xlsx": 4, "uk_2024-01_2.xlsx": 4, "uk_2024-01_3.xlsx": 3, "france_2024-01.xlsx": 1}
+    assert all(r.file_hash == hashlib.sha256(open(r.path, "rb").read()).hexdigest() for r in written.values())
+    cells = sorted((r.file.rsplit("/", 1)[1], r.row_number, r.header, r.raw) for r in xlsx.read_cells(spark, str(tmp_path)).where("file like '%/uk%'").collect())
+    names = ["uk_2024-01.xlsx", "uk_2024-01_2.xlsx", "uk_2024-01_3.xlsx"]
+    want = [(names[k // 4], k % 4 + 2, h, v) for k in range(10) for h, v in (("at", at.isoformat()), ("n", str(2**53 + k)), ("row", str(k))) if h != "n" or k % 3]
+    assert cells == sorted([*want, (names[2], 4, "n", "5")])  # an empty ordering number comes last
+
+
 CANONICAL = {"invoice_id": "1", "product_id": "a", "product_description": None, "quantity": 2, "transaction_timestamp": "2024-01-01T00:00:00", "unit_price": "2.50", "customer_id": None, "country": "UK", "source_file_id": "f", "source_row_number": 2}
 
 
